@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing
+from . import bpe, fingerprint, linededup, mixing, tokenstore, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenstore.write_store(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
+    return tokenstore.read_store(spark, path)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(documents(spark, sf_dir), min_docs=10, min_chars=1))
 
@@ -83,10 +92,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_store": op2_token_store,
+    "op3_token_counts": op3_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op9_bpe": op9_bpe,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 SQL: dict[str, str] = {
