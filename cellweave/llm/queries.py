@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, mixing, tokenstore, unigram
+from . import bpe, fingerprint, linededup, mixing, neardup, tokenstore, toxicity, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenstore.write_store(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0)
     return tokenstore.read_store(spark, path)
@@ -39,6 +47,29 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+OP4_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w
+    from documents),
+shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                                   else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+    from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
+linked as (select a, b from links union all select b, a from links),
+reach(doc_id, root) as (select doc_id, doc_id from documents union select r.doc_id, t.b from reach r join linked t on r.root = t.a),
+labelled as (select doc_id, min(root) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join labelled using (doc_id) left join sizes s on s.doc_id = d.doc_id
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(documents(spark, sf_dir), min_docs=10, min_chars=1))
 
@@ -97,8 +128,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_store": op2_token_store,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op9_bpe": op9_bpe,
@@ -106,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_near_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_mixing": OP6_SQL,
 }
