@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, mixing, neardup, tokenstore, toxicity, unigram
+from . import bpe, fingerprint, linededup, mixing, neardup, substring, tokenstore, toxicity, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -53,7 +53,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with recursive words as (
-    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') as w
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as w
     from documents),
 shingles as (
     select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
@@ -119,6 +120,26 @@ from (select *, unnest(range(1, n_copies + 1)) as copy from counted)
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(documents(spark, sf_dir), width=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50),
+windows as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from starts),
+least as (select h, min(doc_id) as lo from windows group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join least using (h) where lo < doc_id),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from words),
+kept as (
+    select e.doc_id, count(*) as n, count(g.p) as removed, string_agg(word, ' ' order by e.p) filter (where g.p is null) as kept
+    from each e left join gone g on e.doc_id = g.doc_id and e.p = g.p group by e.doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join kept k using (doc_id)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
@@ -134,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -142,4 +164,5 @@ SQL: dict[str, str] = {
     "op4_near_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
