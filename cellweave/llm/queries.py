@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, mixing, neardup, substring, tokenstore, toxicity, unigram
+from . import ann, bpe, fingerprint, linededup, mixing, neardup, substring, tokenstore, toxicity, unigram
 
 
 def vocabulary(name: str) -> str:
@@ -140,6 +140,10 @@ from documents d left join kept k using (doc_id)
 """
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
@@ -156,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
