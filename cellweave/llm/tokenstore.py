@@ -9,23 +9,23 @@ Shards are rows of a table in the shared folder, (part, seq) in ascending docume
 and committed by Spark, so that lost tasks leave nothing behind and any file system will do.
 
 Defined cases: null text counts as empty and holds only the end id; null ids come first; rows that
-repeat an id stand together, in the order of their text's hash; extra columns play no part; an empty
+repeat an id stand together, in the order of their ids' bytes; extra columns play no part; an empty
 table makes an empty store.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +35,19 @@ MAGIC = b"EFT1"
 SAMPLE = 256
 #: Ids in a shard before a new one begins; a longer document has a shard of its own.
 SHARD_IDS = 1 << 19
-#: Chunks remembered by a worker's encoder.
-MEMORY = 400_000
+#: Chunks remembered by a worker's encoder; beyond that memory starts afresh.
+MEMORY = 900_000
 
-#: The characters with the Unicode property White_Space.
-_SPACE = "\t-\r \x85\xa0  -     　"
-_chunks = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
+#: The characters with the Unicode property White_Space, and letters of Latin-1.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_chunks = re.compile(f" ?[{_LETTER}]+(?![^{_SPACE}.,;:!?])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on.
+_ALPHABET = {}
+for _byte in range(256):
+    _ALPHABET[_byte] = _byte if 33 <= _byte <= 126 or 161 <= _byte <= 172 or _byte >= 174 else 256 + len([b for b, c in _ALPHABET.items() if c >= 256])
 
 
 class EliasFano:
@@ -124,7 +131,7 @@ class ChunkEncoder:
     """The tokenizers library behind a memory of chunks.
 
     Texts split where the byte-level pattern always splits: before a single space that follows a
-    non-space and before or after a run of white space. The library encodes each new chunk once.
+    non-space, before or after a run of white space, and between a word and punctuation after it. The library encodes each new chunk once.
     """
 
     def __init__(self, blob: bytes):
@@ -133,6 +140,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.tokenizer.encode_special_tokens = True
+        self.byte_level = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.encode("A b", add_special_tokens=False).ids == [t.id for w in ("A", "\u0120b") for t in self.tokenizer.model.tokenize(w)]
         self.forget()
 
     def forget(self) -> None:
@@ -142,17 +150,36 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.index) > MEMORY:
             self.forget()
-        numbered = [np.fromiter(map(self.index.__getitem__, _chunks(t)), dtype=np.int32) for t in texts]
-        new = list(islice(self.index, len(self.offsets) - 1, None))
-        parts, lengths = [self.ids], []
-        for i in range(0, len(new), 4096):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)]
-            lengths += map(len, got)
-            parts.append(np.fromiter((x for ids in got for x in ids), dtype=np.int32))
-        self.ids = np.concatenate(parts)
-        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(np.array(lengths, dtype=np.int64))))
+        numbered = []
+        for t in texts:
+            chunks = _chunks(t)
+            numbered.append(np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int32, count=len(chunks)))
+        got = self._encoded(list(islice(self.index, len(self.offsets) - 1, None)))
+        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(lengths.sum()))))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(lengths)))
         return map(self._ids, numbered)
 
+    def _encoded(self, new: list[str]) -> list[list[int]]:
+        """Ids of each chunk. A chunk of letters is one piece, which the library's model takes in the
+        byte-level alphabet; the others go through the whole tokenizer."""
+        tokenize, out, rest = self.tokenizer.model.tokenize, [], []
+        gc.disable()  # many small lists and no cycles
+        for i, chunk in enumerate(new):
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if self.byte_level and word.isalpha():
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+                out.append([t.id for t in tokenize(spelled if word is chunk else "\u0120" + spelled)])
+            else:
+                out.append(None)
+                rest.append(i)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([new[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        gc.enable()
+        return out
+
     def _ids(self, numbers: np.ndarray) -> np.ndarray:
         begin = self.offsets[numbers]
         lengths = self.offsets[numbers + 1] - begin
@@ -170,42 +197,63 @@ def worker_encoder(blob: bytes) -> ChunkEncoder:
     return _encoders[name]
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+    """(doc_id, wide, ids): each text's ids and the end id, little-endian in 16 bits or, if wide, 32."""
+    spark = docs.sparkSession
+    bounded_batches(spark, 1000)
+    with open(tokenizer, "rb") as f:
+        blob = spark.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = worker_encoder(blob.value)
+        for batch in batches:
+            ids, wide = [], []
+            for tokens in enc.encode([t or "" for t in batch.column("text").to_pylist()]):
+                wide.append(bool(len(tokens) and tokens.max() >> 16 or end_id >> 16))
+                ids.append(np.append(tokens, np.int32(end_id)).astype("<u4" if wide[-1] else "<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.bool_()), pa.array(ids, pa.binary())], ["doc_id", "wide", "ids"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, wide boolean, ids binary")
+
+
 def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None, shard_ids: int = SHARD_IDS) -> str:
     """Encodes docs and writes their shards; returns the store's path.
 
-    One shuffle: rows go by range of document id (and a hash, so that a repeated id can't overfill a
-    range), are sorted within, and each task writes the shards of its range.
+    Texts are encoded where they are read; only ids are shuffled, once, to ranges of document ids
+    whose bounds come from approximate quantiles of the id column. Each range is sorted and cut into
+    shards as it streams by.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 1000)
-    with open(tokenizer, "rb") as f:
-        blob = spark.sparkContext.broadcast(f.read())
+    n = 4 * partitions(spark)
+    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20000)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part = worker_encoder(blob.value), TaskContext.get().partitionId()
-        ids, held, size, seq = [], [], 0, 0
+        now, ids, held, size, seq = None, [], [], 0, 0
+        id_type = pa.int64()
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([Shard.pack(held)], pa.binary())]
+            columns = [pa.array([now], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([Shard.pack(held)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_ids", "doc_ids", "blob"])
 
-        id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, own, wide, tokens in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "wide", "ids")), strict=True):
+                if held and (own != now or size >= shard_ids):
+                    yield out()
+                    ids, held, size, seq = [], [], 0, seq + 1 if own == now else 0
+                now = own
                 ids.append(doc)
-                held.append(np.append(tokens, np.int32(end_id)))
+                held.append(np.frombuffer(tokens, dtype="<u4" if wide else "<u2").astype(np.uint32))
                 size += len(held[-1])
-                if size >= shard_ids:
-                    yield out()
-                    ids, held, size, seq = [], [], 0, seq + 1
-        if ids:
+        if held:
             yield out()
 
     path = path or shared_path(spark, "tokens")
-    dealt = docs.select("doc_id", "text").withColumn("__h", F.xxhash64("text"))
-    dealt = dealt.repartitionByRange(partitions(spark), "doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
+    dealt = encoded(docs, tokenizer, end_id).withColumn("part", part).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "ids")
     dealt.mapInArrow(shards, f"part int, seq int, n_ids long, doc_ids array<{kind}>, blob binary").write.parquet(path)
     return path
 
