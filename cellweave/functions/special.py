@@ -46,6 +46,13 @@ def gamma_p(a: float, x: float) -> float:
     return 1 - gamma_q_fraction(a, x) * scale
 
 
+def gamma_q(a: float, x: float) -> float:
+    """The upper function, without the cancellation of 1 - P in the far tail."""
+    if x < a + 1:
+        return 1 - gamma_p(a, x)
+    return math.exp(a * math.log(x) - x - math.lgamma(a)) * gamma_q_fraction(a, x)
+
+
 def gamma_q_fraction(a: float, x: float) -> float:
     """Lentz's method on the continued fraction of the upper function."""
     b = x + 1 - a
@@ -131,6 +138,10 @@ def f_cdf(x: float, d1: float, d2: float) -> float:
     return beta_i(d1 / 2, d2 / 2, d1 * x / (d1 * x + d2)) if x > 0 else 0.0
 
 
+def f_tail(x: float, d1: float, d2: float) -> float:
+    return beta_i(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)) if x > 0 else 1.0
+
+
 def simpson(f: Callable[[float], float], a: float, b: float, n: int) -> float:
     """Composite Simpson rule with n (even) steps; exact to rounding for smooth periodic integrands."""
     h = (b - a) / n

@@ -7,7 +7,7 @@ from collections import Counter
 
 from ..values import DIV0, NA, NUM, Error, Grid, logical, number
 from .registry import each, fsum, integer, numbers, numbers_a, pairs, single, whole
-from .special import beta_i, f_cdf, gamma_p, invert, normal_density, normal_inverse, phi, t_cdf, t_inverse
+from .special import beta_i, f_cdf, f_tail, gamma_p, gamma_q, invert, normal_density, normal_inverse, phi, t_cdf, t_inverse
 
 
 def need(ok: object, kind: str = NUM) -> None:
@@ -423,7 +423,7 @@ def probability(p, low_open=True, high_open=True):
 
 @each("T.DIST.2T", 2)
 def t_dist_2t(t, d):
-    return 2 * (1 - t_cdf(not_negative(t), degrees(d))) if not_negative(t) else 1.0
+    return 2 * t_cdf(-not_negative(t), degrees(d))
 
 
 each("T.DIST.RT", 2)(lambda t, d: t_cdf(-float(number(t)), degrees(d)))
@@ -435,8 +435,8 @@ def t_inv_2t(p, d):
     return t_inverse(1 - probability(p, high_open=False) / 2, degrees(d))
 
 
-each("CHISQ.DIST.RT CHIDIST", 2)(lambda x, d: 1 - gamma_p(degrees(d) / 2, not_negative(x) / 2))
-each("F.DIST.RT FDIST", 3)(lambda x, a, b: 1 - f_cdf(not_negative(x), degrees(a), degrees(b)))
+each("CHISQ.DIST.RT CHIDIST", 2)(lambda x, d: gamma_q(degrees(d) / 2, not_negative(x) / 2))
+each("F.DIST.RT FDIST", 3)(lambda x, a, b: f_tail(not_negative(x), degrees(a), degrees(b)))
 
 
 def chi_inverse(p, d):
@@ -669,6 +669,6 @@ def chisq_test(actual, expected):
     h, w = actual.height, actual.width
     df = (h - 1) * (w - 1) if h > 1 and w > 1 else len(o) - 1
     need(df >= 1, NA)
-    return 1 - gamma_p(df / 2, stat / 2)
+    return gamma_q(df / 2, stat / 2)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import REGISTRY
 from ..functions.registry import guarded
-from ..values import DIV0, NA, NUM, VALUE, Error
+from ..values import DIV0, NA, NUM, VALUE, Error, Grid
 
 NO = object()
 
@@ -155,11 +155,12 @@ def boolean(x: Ex) -> Ex:
 
 
 def date(x: Ex) -> Ex:
-    """As a Spark date, for calendar functions."""
+    """As a Spark date, for calendar functions; a blank is the day with serial 0."""
+    zero_day = F.lit("1899-12-31").cast("date")
     if x.kind == "date":
-        return x
+        return Ex("date", F.coalesce(x.col, zero_day), x.err)
     if x.kind == "time":
-        return Ex("date", x.col.cast("date"), x.err)
+        return Ex("date", F.coalesce(x.col.cast("date"), zero_day), x.err)
     n = num(x)
     bad = (n.col < 0) | (n.col >= 2958466)
     return Ex("date", F.when(~bad, date_of_serial(n.col)), errors(n, flag(NUM, bad)))
@@ -460,7 +461,7 @@ def odd_of(*args: Ex) -> Ex:
 def condition(x: Ex) -> tuple[Column, Column | None]:
     """Numbers and logical values; text and errors in a condition are #VALUE!."""
     if x.kind == "text":
-        return F.lit(False), F.lit(VALUE)
+        return F.lit(False), errors(flag(VALUE, x.col.isNotNull()), None if x.err is None else flag(VALUE, x.err.isNotNull()))
     b = boolean(x)
     return (F.coalesce(b.col, F.lit(False)), None) if b.err is None else (F.coalesce(b.col, F.lit(False)), flag(VALUE, b.err.isNotNull()))
 
@@ -707,18 +708,32 @@ def dollar(x: Ex, digits: Ex | None = None) -> Ex:
 # dates
 
 
-def calendar(names: str, call: Callable[[Column], Column]) -> None:
+def day_number(x: Ex) -> Ex:
+    """The whole serial, which counts a 29 February 1900."""
+    n = num(x)
+    bad = (n.col < 0) | (n.col >= 2958466)
+    return Ex("num", F.floor(n.col).cast("double"), n.err if x.kind in ("date", "time") else errors(n, flag(NUM, bad)))
+
+
+def calendar(names: str, call: Callable[[Column], Column], at_zero: int | None = None, at_sixty: int | None = None) -> None:
+    """at_zero and at_sixty: what serials 0 and 60 show, which no calendar has."""
+
     def run(x: Ex) -> Ex:
         d = date(x)
-        return Ex("num", call(d.col).cast("double"), errors(d, flag(NUM, d.col.isNull()) if x.kind == "text" else None))
+        got = call(d.col).cast("double")
+        if at_zero is not None:
+            got = F.when(d.col == F.lit("1899-12-31").cast("date"), F.lit(float(at_zero))).otherwise(got)
+        if at_sixty is not None and x.kind not in ("date", "time"):
+            got = F.when(F.floor(num(x).col) == 60, F.lit(float(at_sixty))).otherwise(got)
+        return Ex("num", got, d.err)
 
     for n in names.split():
         FUNCTIONS[n] = run
 
 
-calendar("YEAR", F.year)
-calendar("MONTH", F.month)
-calendar("DAY", F.dayofmonth)
+calendar("YEAR", F.year, 1900)
+calendar("MONTH", F.month, 1)
+calendar("DAY", F.dayofmonth, 0, 29)
 calendar("ISOWEEKNUM", F.weekofyear)
 
 
@@ -730,7 +745,7 @@ def clock(names: str, of_time: Callable[[Column], Column], of_seconds: Callable[
             return Ex("num", F.lit(0.0), x.err)
         n = num(x)
         seconds = F.pmod(F.round((n.col - F.floor(n.col)) * 86400), F.lit(86400.0))
-        return Ex("num", of_seconds(seconds).cast("double"), errors(n, neg(n.col)))
+        return Ex("num", of_seconds(seconds).cast("double"), errors(n, flag(NUM, (n.col < 0) | (n.col >= 2958466))))
 
     for n in names.split():
         FUNCTIONS[n] = run
@@ -761,9 +776,10 @@ def time_(h: Ex, m: Ex, s: Ex) -> Ex:
 def months_moved(end: bool):
     def run(start: Ex, months: Ex) -> Ex:
         d, n = date(start), num(months)
-        got = F.add_months(d.col, toward_zero(n.col).cast("int"))
+        first = F.when(d.col == F.lit("1899-12-31").cast("date"), F.lit("1900-01-01").cast("date")).otherwise(d.col)
         # add_months keeps the day where it can, as these functions do
-        return Ex("date", F.last_day(got) if end else got, errors(d, n))
+        got = F.add_months(first, toward_zero(n.col).cast("int"))
+        return Ex("date", F.last_day(got) if end else got, errors(d, n, flag(NUM, (got < F.lit("1900-01-01").cast("date")) | (got > F.lit("9999-12-31").cast("date")))))
 
     return run
 
@@ -773,8 +789,8 @@ FUNCTIONS["EDATE"], FUNCTIONS["EOMONTH"] = months_moved(False), months_moved(Tru
 
 @define("DAYS")
 def days(end: Ex, start: Ex) -> Ex:
-    a, b = date(end), date(start)
-    return Ex("num", F.datediff(a.col, b.col).cast("double"), errors(a, b))
+    a, b = day_number(end), day_number(start)
+    return Ex("num", a.col - b.col, errors(a, b))
 
 
 def constant(x: Ex | None, default: int) -> int:
@@ -787,8 +803,8 @@ def constant(x: Ex | None, default: int) -> int:
 
 @define("WEEKDAY")
 def weekday(x: Ex, kind: Ex | None = None) -> Ex:
-    k, d = constant(kind, 1), date(x)
-    sunday = F.dayofweek(d.col) - 1  # 0 for Sunday
+    k, d = constant(kind, 1), day_number(x)
+    sunday = (d.col + 6) % 7  # 0 for Sunday
     shift = {1: (0, 1), 17: (0, 1), 2: (6, 1), 11: (6, 1), 3: (6, 0), **{12 + i: (5 - i, 1) for i in range(5)}}.get(k)
     if shift is None:
         return literal(Error(NUM))
@@ -797,14 +813,15 @@ def weekday(x: Ex, kind: Ex | None = None) -> Ex:
 
 @define("WEEKNUM")
 def weeknum(x: Ex, kind: Ex | None = None) -> Ex:
-    k, d = constant(kind, 1), date(x)
+    k, d, n = constant(kind, 1), date(x), day_number(x)
     if k == 21:
         return Ex("num", F.weekofyear(d.col).cast("double"), d.err)
-    first = {1: 1, 17: 1, 2: 2, 11: 2, 12: 3, 13: 4, 14: 5, 15: 6, 16: 7}.get(k)
+    first = {1: 0, 17: 0, 2: 1, 11: 1, 12: 2, 13: 3, 14: 4, 15: 5, 16: 6}.get(k)  # Sunday is 0
     if first is None:
         return literal(Error(NUM))
-    start = F.trunc(d.col, "year")
-    return Ex("num", (F.floor((F.dayofyear(d.col) - 1 + F.pmod(F.dayofweek(start) - first, F.lit(7))) / 7) + 1).cast("double"), d.err)
+    start = n.col - F.dayofyear(d.col) + 1 - F.when((F.year(d.col) == 1900) & (n.col >= 61), 1).otherwise(0)
+    week = F.floor((n.col - start + F.pmod((start + 6) % 7 - first, F.lit(7))) / 7) + 1
+    return Ex("num", F.when(n.col == 0, F.lit(0.0)).otherwise(week).cast("double"), n.err)
 
 
 @define("DATEDIF")
@@ -912,12 +929,20 @@ TEXT_RESULTS = set(
 BOOL_RESULTS = {"EXACT"}
 
 
-def library(name: str, args: list[Ex]) -> Ex:
-    """Runs a function of the library on Arrow batches; one pass over the distinct argument rows of a batch."""
+def library(name: str, args: list[Ex], arrays: dict[int, Grid] | None = None) -> Ex:
+    """Runs a function of the library on Arrow batches, once for each distinct argument row of a batch.
+
+    arrays: constant arrays among the arguments, by position.
+    """
+    fixed, size = arrays or {}, len(args)
     kind = "text" if name in TEXT_RESULTS else "bool" if name in BOOL_RESULTS else "num"
     call, takes_errors = REGISTRY[name].call, REGISTRY[name].errors
     spark_type = {"text": "string", "bool": "boolean", "num": "double"}[kind]
-    cols = [num(a) if a.kind in ("date", "time") else a for a in args]
+    cols = [num(a) if a.kind in ("date", "time") else a for i, a in enumerate(args) if i not in fixed]
+
+    def whole_row(values: list[object]) -> list[object]:
+        rest = iter(values)
+        return [fixed[i] if i in fixed else next(rest) for i in range(size)]
 
     def run(*series: pd.Series) -> pd.DataFrame:
         memory: dict[tuple, tuple] = {}
@@ -925,7 +950,7 @@ def library(name: str, args: list[Ex]) -> Ex:
         for row in zip(*series, strict=True) if series else [()]:
             key = tuple((None if v is None or v != v else v) for v in row)
             if key not in memory:
-                got = guarded(call, [v.item() if hasattr(v, "item") else v for v in key], takes_errors)
+                got = guarded(call, whole_row([v.item() if hasattr(v, "item") else v for v in key]), takes_errors)
                 if isinstance(got, Error):
                     memory[key] = (None, got.kind)
                 else:
@@ -941,10 +966,12 @@ def library(name: str, args: list[Ex]) -> Ex:
     return Ex(kind, got["v"], err)
 
 
-def call(name: str, args: list[Ex]) -> Ex:
+def call(name: str, args: list[Ex], arrays: dict[int, Grid] | None = None) -> Ex:
     f = REGISTRY.get(name)
     if f is not None and not f.least <= len(args) <= f.most:
         return literal(Error(VALUE))
+    if arrays and f is not None and f.kind != "lazy":
+        return library(name, args, arrays)
     if name in FUNCTIONS:
         try:
             return FUNCTIONS[name](*args)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..formula.nodes import ArrayLiteral, Binary, Call, CellRef, ErrorLiteral, Invoke, Literal, NameRef, Node, Omitted, RangeRef, TableRef, Unary
 from ..operators import lookup, order
-from ..values import NA, REF, VALUE, Error, criterion, has_wildcard
+from ..values import NA, REF, VALUE, Error, Grid, criterion, has_wildcard
 from . import aggregates as A
 from . import columns as C
 from .columns import Ex, Unsupported, literal
@@ -187,7 +187,8 @@ class Rows:
             return Ex("num", F.col(first).cast("double"))
         if name in ("ISERROR", "ISNUMBER", "ISNA") and args and isinstance(args[0], Call) and args[0].name in ("MATCH", "XMATCH"):
             return C.call(name, [self.compile(args[0], names)])
-        return C.call(name, [self.compile(a, names) for a in args])
+        arrays = {i: Grid([[A.constant(v) for v in row] for row in a.rows]) for i, a in enumerate(args) if isinstance(a, ArrayLiteral)}
+        return C.call(name, [self.compile(a, names) for a in args], arrays)
 
     def is_range(self, node: Node) -> bool:
         return any(isinstance(n, TableRef) and not n.this_row and n.table is not None for n in node.walk())

@@ -111,6 +111,25 @@ rows("let_lambda", "orders", {"x": "=LET(r,0.1,p,[@o_totalprice],p*(1+r))", "y":
 rows("distributions", "part", {"n": "=NORM.DIST([@p_size],25,10,TRUE)", "z": "=NORM.S.INV(([@p_size]+1)/60)", "t": "=T.DIST.2T([@p_size]/20,10)", "c": "=CHISQ.DIST.RT([@p_size],8)", "b": "=BINOM.DIST(MOD([@p_size],10),10,0.4,FALSE)", "e": "=ERF([@p_size]/50)", "j": "=BESSELJ([@p_size]/10,1)", "g": "=GAMMALN([@p_size]+1)"}, ["p_partkey"], None)
 rows("yield_rate", "part", {"r": "=RATE(48,-50,[@p_retailprice])", "y": "=YIELD(DATE(2024,3,1),DATE(2026,3,1),0.05,90+MOD([@p_size],20),100,2)", "c": '=IMABS(COMPLEX([@p_size],3))', "v": '=CONVERT([@p_size],"km","mi")'}, ["p_partkey"], None)
 
+rows("combinatorics", "part", {"p": "=PERMUT([@p_size]+3,2)", "ca": "=COMBINA([@p_size]+1,2)", "g": "=GCD([@p_partkey]+1,[@p_size]+1)", "l": "=LCM([@p_size]+1,6)", "fd": "=FACTDOUBLE(MOD([@p_size],4))", "ml": "=MULTINOMIAL(MOD([@p_size],4),2)", "ss": "=SERIESSUM([@p_size]/50,0,1,{1,2,3})", "sm": "=SUMSQ([@p_size],2)"}, ["p_partkey"],
+     "select p_partkey, ((p_size+3)*(p_size+2))::double as p, ((p_size+2)*(p_size+1)/2)::double as ca, gcd(p_partkey+1,p_size+1)::double as g, lcm(p_size+1,6)::double as l, [1,1,2,3][p_size%4+1]::double as fd, [1,3,6,10][p_size%4+1]::double as ml, 1+2*(p_size/50.0::double)+3*pow(p_size/50.0::double,2) as ss, (p_size*p_size+4)::double as sm from part")
+rows("hyperbolic", "part", {"a": "=SINH([@p_size]/20)", "b": "=COSH([@p_size]/20)", "c": "=ASINH([@p_size])", "d": "=ACOSH([@p_size]+1)", "e": "=ATANH([@p_size]/60)", "f": "=SECH([@p_size]/20)", "g": "=SEC([@p_size])", "h": "=CSC([@p_size]+1)", "i": "=COT([@p_size]+1)", "j": "=ACOTH([@p_size]+2)", "k": "=CSCH([@p_size]+1)", "l": "=COTH([@p_size]+1)", "m": "=FISHER([@p_size]/60)", "n": "=SQRTPI([@p_size])"}, ["p_partkey"],
+     "select p_partkey, sinh(p_size/20.0::double) as a, cosh(p_size/20.0::double) as b, asinh(p_size::double) as c, acosh(p_size+1.0::double) as d, atanh(p_size/60.0::double) as e, 1/cosh(p_size/20.0::double) as f, 1/cos(p_size) as g, 1/sin(p_size+1) as h, 1/tan(p_size+1) as i, 0.5*ln((p_size+3.0::double)/(p_size+1.0::double)) as j, 1/sinh(p_size+1.0::double) as k, 1/tanh(p_size+1.0::double) as l, atanh(p_size/60.0::double) as m, sqrt(p_size*pi()) as n from part")
+rows("engineering", "part", {"b": "=DEC2BIN([@p_size])", "o": "=DEC2OCT([@p_partkey])", "h": "=HEX2DEC(DEC2HEX([@p_partkey]))", "c": "=BIN2DEC(DEC2BIN([@p_size]))", "d": "=OCT2DEC(DEC2OCT([@p_size]))", "l": "=BITLSHIFT([@p_size],2)", "r": "=BITRSHIFT([@p_size],2)", "x": "=DECIMAL(BASE([@p_partkey],7),7)", "n": "=ARABIC(ROMAN([@p_partkey]+1))"}, ["p_partkey"],
+     "select p_partkey, to_base(p_size,2) as b, to_base(p_partkey,8) as o, p_partkey::double as h, p_size::double as c, p_size::double as d, (p_size*4)::double as l, floor(p_size/4)::double as r, p_partkey::double as x, (p_partkey+1)::double as n from part")
+rows("complex", "part", {"z": "=COMPLEX([@p_size]+1,2)", "a": "=IMABS(COMPLEX([@p_size],3))", "re": '=IMREAL(IMPRODUCT(COMPLEX([@p_size],2),"3+4i"))', "im": '=IMAGINARY(IMSUM(COMPLEX([@p_size],2),"1-5i"))', "cj": "=IMCONJUGATE(COMPLEX([@p_size]+2,3))", "ar": "=IMARGUMENT(COMPLEX([@p_size],1))"}, ["p_partkey"],
+     "select p_partkey, (p_size+1)||'+2i' as z, sqrt(p_size*p_size+9) as a, (3*p_size-8)::double as re, -3.0::double as im, (p_size+2)||'-3i' as cj, atan2(1,p_size) as ar from part")
+rows("units", "part", {"km": '=CONVERT([@p_size],"mi","km")', "f": '=CONVERT([@p_size],"C","F")', "lb": '=CONVERT([@p_size],"kg","lbm")', "h": '=CONVERT([@p_size],"day","hr")', "n": '=IFNA(CONVERT([@p_size],"kg","m"),-1)'}, ["p_partkey"],
+     "select p_partkey, p_size*1.609344::double as km, p_size*9.0::double/5+32 as f, p_size*1000/453.59237::double as lb, p_size*24.0::double as h, -1.0::double as n from part")
+rows("closed_distributions", "part", {"p": "=PHI([@p_size]/20)", "s": "=STANDARDIZE([@p_size],25,10)", "e": "=EXPON.DIST([@p_size],0.1,TRUE)", "w": "=WEIBULL.DIST([@p_size],2,30,FALSE)", "g": "=GAMMALN([@p_size]+1)", "po": "=POISSON.DIST(MOD([@p_size],8),3,FALSE)", "b": "=BINOM.DIST(MOD([@p_size],5),4,0.3,FALSE)", "h": "=HYPGEOM.DIST(MOD([@p_size],3),2,5,9,FALSE)", "nb": "=NEGBINOM.DIST(MOD([@p_size],6),1,0.25,FALSE)", "ln": "=LOGNORM.DIST(1,MOD([@p_size],1),1,TRUE)", "u": "=BETA.DIST([@p_size]/60,1,1,TRUE)", "x": "=CHISQ.DIST.RT([@p_size],2)", "f": "=FISHERINV([@p_size]/50)"}, ["p_partkey"],
+     "select p_partkey, exp(-pow(p_size/20.0::double,2)/2)/sqrt(2*pi()) as p, (p_size-25)/10.0::double as s, 1-exp(-0.1::double*p_size) as e, 2/30.0::double*(p_size/30.0::double)*exp(-pow(p_size/30.0::double,2)) as w, lgamma(p_size+1) as g, pow(3,p_size%8)*exp(-3)/factorial(p_size%8) as po, [0.2401,0.4116,0.2646,0.0756,0.0081][p_size%5+1]::double as b, [6/36.0,20/36.0,10/36.0][p_size%3+1]::double as h, 0.25::double*pow(0.75,p_size%6) as nb, 0.5::double as ln, p_size/60.0::double as u, exp(-p_size/2.0::double) as x, tanh(p_size/50.0::double) as f from part")
+rows("date_more", "orders", {"y": "=YEARFRAC([@o_orderdate],DATE(2010,1,1),3)", "d": "=DAYS360([@o_orderdate],DATE(2010,6,15),TRUE)", "w": "=WEEKDAY([@o_orderdate])", "dt": "=DATE(YEAR([@o_orderdate]),MONTH([@o_orderdate])+1,1)", "tm": "=TIME(1,MOD([@o_orderkey],60),30)", "wk": "=WEEKNUM([@o_orderdate],21)", "md": '=DATEDIF([@o_orderdate],DATE(2010,6,15),"D")', "tx": '=TEXT([@o_orderdate],"yyyy-mm-dd")', "dv": '=DATEVALUE("2001-02-03")'}, ["o_orderkey"],
+     "select o_orderkey, abs(date_diff('day', o_orderdate::date, date '2010-01-01'))/365.0::double as y, ((2010-year(o_orderdate))*360+(6-month(o_orderdate))*30+15-least(day(o_orderdate),30))::double as d, (dayofweek(o_orderdate)+1)::double as w, (date_trunc('month',o_orderdate)+interval 1 month)::date as dt, (3600+60*(o_orderkey%60)+30)/86400.0::double as tm, week(o_orderdate)::double as wk, date_diff('day', o_orderdate::date, date '2010-06-15')::double as md, strftime(o_orderdate,'%Y-%m-%d') as tx, 36925.0::double as dv from orders")
+rows("finance_more", "orders", {"n": "=NPER(0.01,-[@o_totalprice],[@o_totalprice]*20)", "r": "=RRI(5,1000,[@o_totalprice]+1)", "p": "=PDURATION(0.05,100,[@o_totalprice]+200)", "i": "=ISPMT(0.01,3,24,[@o_totalprice])", "no": "=NOMINAL(0.06,4)", "de": "=DOLLARDE(1.02,16)", "tb": "=TBILLPRICE(DATE(2024,1,1),DATE(2024,4,1),0.038)", "np": "=NPV(0.1,[@o_totalprice],100)", "dd": "=DDB([@o_totalprice]+10000,1000,10,1)", "pr": "=PPMT(0,1,10,[@o_totalprice])"}, ["o_orderkey"],
+     "select o_orderkey, -ln(1-20*0.01::double)/ln(1.01::double) as n, pow((o_totalprice+1)/1000,0.2)-1 as r, (ln(o_totalprice+200)-ln(100))/ln(1.05::double) as p, o_totalprice*0.01*(3/24.0-1) as i, 4*(pow(1.06::double,0.25)-1) as no, 1.125::double as de, 100*(1-0.038*91/360::double) as tb, o_totalprice/1.1::double+100/1.21::double as np, (o_totalprice+10000)*0.2::double as dd, -o_totalprice/10 as pr from orders")
+rows("text_more", "part", {"c": "=CHAR(65+MOD([@p_size],26))", "d": '=CODE([@p_name])', "v": '=VALUE("1"&[@p_size])', "nv": '=NUMBERVALUE([@p_size]&",5",",",".")', "cl": '=CLEAN([@p_name]&CHAR(9))', "fx": "=FIXED([@p_retailprice],1)", "dl": "=DOLLAR([@p_size])", "uc": "=UNICHAR(8364)", "un": "=UNICODE([@p_type])", "at": "=VALUETOTEXT([@p_name],1)", "ad": "=ADDRESS([@p_size]+1,2)", "sr": '=IFERROR(SEARCH("?o",[@p_name]),0)', "pc": '="5%"*[@p_size]'}, ["p_partkey"],
+     "select p_partkey, chr(65+p_size%26) as c, ascii(p_name)::double as d, ('1'||p_size)::double as v, p_size+0.5::double as nv, p_name as cl, format('{:,.1f}', floor(p_retailprice*10+0.5)/10) as fx, '$'||p_size||'.00' as dl, '€' as uc, unicode(p_type)::double as un, '\"'||p_name||'\"' as at, '$B$'||(p_size+1) as ad, coalesce(nullif(instr(substr(p_name,2),'o'),0),0)::double as sr, p_size*0.05::double as pc from part")
+
 # -- scalars --------------------------------------------------------------------------------
 
 scalars("sum_scalar", {"total": "=SUM(lineitem[l_quantity])"}, ("lineitem",), "select sum(l_quantity) as total from lineitem")

@@ -47,6 +47,8 @@ def windowed(stream: DataFrame, time: str, length: str, formulas: Mapping[str, s
         aggs += [a.alias(n) for a, n in zip(plan.aggs, names, strict=True)]
         finishes[name] = (plan, names)
     by = list(by)
+    if stream.schema[time].dataType.typeName() != "timestamp":
+        stream = stream.withColumn(time, F.col(f"`{time}`").cast("timestamp"))
     window = F.window(time, length, slide) if slide else F.window(time, length)
     grouped = stream.withWatermark(time, watermark).groupBy(window.alias("window"), *[F.col(f"`{b}`") for b in by]).agg(*aggs)
     out = []

@@ -41,7 +41,7 @@ CASES = [
     # text
     ('=LEFT("abc",-1)', "#VALUE!"), ('=MID("abcdef",2,3)', "bcd"), ('=SUBSTITUTE("a-b-c","-","+",2)', "a-b+c"), ('=TRIM("  a   b ")', "a b"), ('=PROPER("o\'neil 2nd")', "O'Neil 2nd"), ('=FIND("c","abc",4)', "#VALUE!"), ('=SEARCH("B?","abcd")', 2), ('=TEXTJOIN("-",FALSE,"a","",1)', "a--1"), ('=TEXTBEFORE("a.b.c",".",-1)', "a.b"), ('=TEXTAFTER("a.b.c",".",2)', "c"), ('=TEXTAFTER("abc","x")', "#N/A"), ('=TEXTSPLIT("a,b;c",",",";")', None), ('=TEXT(1234.567,"#,##0.0")', "1,234.6"), ('=TEXT(0.256,"0%")', "26%"), ('=TEXT(45306,"yyyy-mm-dd")', "2024-01-15"), ('=TEXT(0.75,"hh:mm AM/PM")', "06:00 PM"), ('=TEXT(-5,"0;(0)")', "(5)"), ('=FIXED(1234.5,1)', "1,234.5"), ('=DOLLAR(-2)', "($2.00)"), ('=VALUE("1e3")', 1000), ('=NUMBERVALUE("2.500,5",",",".")', 2500.5), ('=CODE("€")', 128), ('=UNICHAR(8364)', "€"), ('=CLEAN(CHAR(7)&"x")', "x"), ('=EXACT("a","A")', False), ('=REPT("ab",3)', "ababab"),
     # dates
-    ("=DATE(2024,2,30)", 45352), ("=DATE(1900,2,29)", 60), ("=YEAR(60)", 1900), ("=DAY(60)", 29), ("=DATE(1899,1,1)", 693598 + 1), ("=EOMONTH(DATE(2024,1,31),1)", 45351), ("=EDATE(DATE(2024,1,31),1)", 45351), ("=WEEKDAY(45306,2)", 1), ('=DATEDIF(DATE(2020,1,31),DATE(2021,3,1),"M")', 13), ("=NETWORKDAYS(45292,45322)", 23), ("=WORKDAY(45292,5)", 45299), ('=DATEVALUE("15-Jan-2024")', 45306), ('=TIMEVALUE("2:30 PM")', 0.6041666666666666), ("=YEAR(-1)", "#NUM!"), ("=YEARFRAC(45292,45657,1)", None), ("=ISOWEEKNUM(45292)", 1),
+    ("=DATE(2024,2,30)", 45352), ("=DATE(1900,2,29)", 60), ("=YEAR(60)", 1900), ("=DAY(60)", 29), ("=DATE(1899,1,1)", 693598), ("=EOMONTH(DATE(2024,1,31),1)", 45351), ("=EDATE(DATE(2024,1,31),1)", 45351), ("=WEEKDAY(45306,2)", 1), ('=DATEDIF(DATE(2020,1,31),DATE(2021,3,1),"M")', 13), ("=NETWORKDAYS(45292,45322)", 23), ("=WORKDAY(45292,5)", 45299), ('=DATEVALUE("15-Jan-2024")', 45306), ('=TIMEVALUE("2:30 PM")', 0.6041666666666666), ("=YEAR(-1)", "#NUM!"), ("=YEARFRAC(45292,45657,1)", None), ("=ISOWEEKNUM(45292)", 1),
     # lookups and arrays
     ('=VLOOKUP("B",{"a",1;"b",2},2,FALSE)', 2), ("=VLOOKUP(2.5,{1,10;2,20;3,30},2)", 20), ("=VLOOKUP(1,{1,2},3)", "#REF!"), ("=MATCH(5,{1,3,5},0)", 3), ("=MATCH(4,{1,3,5})", 2), ("=MATCH(4,{5,3,1},-1)", 1), ("=MATCH(1,{3,1,2},1)", "#N/A"), ('=XLOOKUP(4,{1,3,5},{"a","b","c"},"none",-1)', "b"), ('=XLOOKUP(9,{1,2},{3,4},"none")', "none"), ('=XLOOKUP("b*",{"ax","bx"},{1,2},,2)', 2), ("=XLOOKUP(1,{1,1},{10,20},,0,-1)", 20), ("=XMATCH(2,{1,2,3})", 2), ("=INDEX({1,2;3,4},2,1)", 3), ("=INDEX({1,2;3,4},0,2)", [[2], [4]]), ("=LOOKUP(2.5,{1,2,3},{10,20,30})", 20), ("=HLOOKUP(2,{1,2;\"a\",\"b\"},2,FALSE)", "b"),
     ("=SORT({3;1;2},1,-1)", [[3], [2], [1]]), ('=SORTBY({"a";"b"},{2;1})', [["b"], ["a"]]), ("=FILTER({1;2;3},{0;1;1})", [[2], [3]]), ("=FILTER({1;2},{0;0})", "#CALC!"), ("=UNIQUE({1;2;1})", [[1], [2]]), ("=UNIQUE({1;2;1},FALSE,TRUE)", [[2]]), ("=TAKE({1;2;3},-2)", [[2], [3]]), ("=DROP({1;2;3},1)", [[2], [3]]), ("=TAKE({1;2},5)", "#VALUE!"), ("=SEQUENCE(2,2,1,2)", [[1, 3], [5, 7]]), ("=TRANSPOSE({1,2})", [[1], [2]]), ("=VSTACK({1,2},{3,4})", [[1, 2], [3, 4]]), ("=HSTACK({1;2},{3;4})", [[1, 3], [2, 4]]), ("=VSTACK({1,2},{3})", "#VALUE!"), ("=TOCOL({1,2;3,4},0,TRUE)", [[1], [3], [2], [4]]), ("=CHOOSECOLS({1,2,3},-1,1)", [[3, 1]]), ("=CHOOSEROWS({1;2;3},3)", [[3]]), ('=GROUPBY({"b";"a";"b"},{1;2;3},"SUM",0,1,1)', [["a", 2], ["b", 4], ["Grand Total", 6]]), ('=ADDRESS(2,28,4)', "AB2"), ("=ROWS({1;2})", 2), ("=COLUMNS({1,2,3})", 3),
@@ -76,7 +76,7 @@ def test_distributions_and_their_inverses():
 
 
 def test_known_values():
-    close("=BESSELJ(1.9,2)", 0.329925829, 1e-8)
+    close("=BESSELJ(1.9,2)", 0.3299257277, 1e-9)
     close("=BESSELI(1.5,1)", 0.981666428, 1e-8)
     close("=BESSELK(1.5,1)", 0.277387804, 1e-8)
     close("=BESSELY(2.5,1)", 0.145918138, 1e-8)
