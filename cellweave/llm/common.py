@@ -108,9 +108,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/cellweave/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    narrow: rows are a few numbers and made by joins alone, so a sixteenth of the tasks write them.
+    """
     path = shared_path(df.sparkSession, name)
+    if narrow:
+        df = df.coalesce(1 + partitions(df.sparkSession) // 16)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,10 +12,11 @@ The work, in order:
 2. A key (i, j) can only be shared by classes that share band i and band j. Bands that a class
    shares with no other are dropped first, so a class without near copies makes few keys or none.
 3. Rounds: every key elects a leader (by another order each round) and every class proposes one
-   link, to a leader of a component other than its own. Proposals are verified on the full sets and
-   the components updated; keys whose classes are all in one component are done. So a group of
-   copies costs a link a member and not a pair of members.
-4. For keys that still join several components all pairs across components are verified.
+   link, to the leader it meets most among those of other components. Proposals are verified on the
+   full sets and the components updated; keys whose classes are all in one component are done. So a
+   group of copies costs a link a member and not a pair of members.
+4. For keys that still join several components the remaining links are found by bounds against a
+   pivot and verified (see ``settled``); no pair is left out for the size of its group.
 
 Links follow 100 * intersection >= 100 * threshold * union on full 64-bit shingle sets.
 
@@ -33,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix64, raw_texts, stored, window_hashes, word_hashes
 
 TABLES, ROWS = 14, 3
-ROUNDS = 4
+ROUNDS = 3
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -121,39 +122,134 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps until the edges are stars; each step is two joins and
     its result is written, so lineage stays short and no task holds a node's neighbours.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while True:
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", narrow=True)
+    while not stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(down, "u")
         small = pairs.select("u", F.col("m").alias("v")).unionByName(pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = stored(small, "links")
-        same = [df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for df in (now, after)]
-        now = after
-        if same[0] == same[1]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        now = stored(small, "links", narrow=True)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs whose full sets are similar. texts: (rep, packed)."""
+def stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and no node has edges both ways: labels are final."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
+def measured(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, na, nb, common): set sizes and exact intersection of each pair. texts: (rep, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last, held = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            pa_, pb = batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist()
-            keep = []
-            for i in range(batch.num_rows):
-                if last != pb[i]:
-                    last, held = pb[i], shingles(unpack(pb[i]), width)
-                keep.append(similar(shingles(unpack(pa_[i]), width), held, percent))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sizes = np.zeros((batch.num_rows, 3), dtype=np.int64)
+            for i, (one, two) in enumerate(zip(batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True)):
+                if last != two:
+                    last, held = two, shingles(unpack(two), width)
+                own = shingles(unpack(one), width)
+                sizes[i] = len(own), len(held), len(np.intersect1d(own, held, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c) for c in sizes.T)], ["a", "b", "na", "nb", "common"])
 
     one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("packed").alias("packed_a")), "a")
     both = one.join(texts.select(F.col("rep").alias("b"), F.col("packed").alias("packed_b")), "b")
-    return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long, na long, nb long, common long")
+
+
+def alike(percent: int) -> Column:
+    return 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the (a, b) pairs whose full sets are similar."""
+    return measured(pairs, texts, width).where(alike(percent)).select("a", "b").distinct()
+
+
+def against_pivot(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(bunch, rep, pivot, na, nb, common, own): each member's set beside its bunch's pivot.
+
+    own holds the shingles that the pivot lacks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, held = zstandard.ZstdDecompressor().decompress, None, None
+        for batch in batches:
+            sizes, own = np.zeros((batch.num_rows, 3), dtype=np.int64), []
+            for i, (one, two) in enumerate(zip(batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True)):
+                if last != two:
+                    last, held = two, shingles(unpack(two), width)
+                mine = shingles(unpack(one), width)
+                rest = np.setdiff1d(mine, held, assume_unique=True)
+                sizes[i] = len(mine), len(held), len(mine) - len(rest)
+                own.append(rest.view(np.int64))
+            lists = pa.array(own, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("bunch"), batch.column("rep"), batch.column("pivot"), *(pa.array(c) for c in sizes.T), lists], ["bunch", "rep", "pivot", "na", "nb", "common", "own"])
+
+    one = members.join(texts.select("rep", F.col("packed").alias("packed_a")), "rep")
+    both = one.join(texts.select(F.col("rep").alias("pivot"), F.col("packed").alias("packed_b")), "pivot")
+    return both.select("bunch", "rep", "pivot", "packed_a", "packed_b").mapInArrow(run, "bunch long, rep long, pivot long, na long, nb long, common long, own array<long>")
+
+
+def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links among classes that share an open key, without comparing each pair.
+
+    open_: (key, rep, label, lead) of keys that still join several components. Classes whose sets
+    overlap by half with their key's leader form bunches; a bunch's pivot is the member with most open
+    keys. With C the pivot's set, any two members have
+
+        |x & y| <= min(|x & C|, |y & C|) + |x & y - C|
+
+    so a pair that reaches the threshold either needs no shingle beyond the pivot's, which members
+    that are not linked with the pivot rarely allow, or shares shingles that the pivot lacks. The
+    first sort is found by sizes. The second shares one of the rarest of those shingles, as many of
+    them as the needed overlap leaves (a prefix filter), and is found by joining on them; shingles
+    that most members have come last and so hardly join. Pairs across bunches, met by chance, are
+    compared directly.
+    """
+    tallies = open_.where(F.col("rep") != F.col("lead.rep")).groupBy("rep", F.col("lead.rep").alias("led")).agg(F.count(F.lit(1)).alias("n"))
+    nearest = tallies.groupBy(F.col("rep").alias("a")).agg(F.max_by("led", F.struct("n", "led")).alias("b"))
+    near = stored(measured(nearest, texts, width), "near-open")
+    bunches = components(near.where(2 * F.col("common") >= F.least("na", "nb")).select("a", "b")).withColumnsRenamed({"node": "rep", "label": "bunch"})
+    degree = open_.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("n")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
+    pivots = degree.groupBy("bunch").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = degree.select("bunch", "rep", "label").join(pivots.select("bunch", "pivot"), "bunch")
+    beside = stored(against_pivot(members, texts, width), "near-open")
+    edges = edges.unionByName(near.where(alike(percent)).select("a", "b")).unionByName(beside.where(alike(percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    labels = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
+    home = pivots.select("bunch", F.col("pivot").alias("rep")).join(labels, "rep", "left").select("bunch", F.coalesce("label", "rep").alias("home"))
+    named = beside.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    least = beside.groupBy("bunch").agg(F.min("na").alias("floor"))
+    now = named.join(home, "bunch").join(least, "bunch").select("bunch", "rep", "label", F.col("na").alias("n"), F.col("common").alias("c"), "own", "floor", (F.col("label") != F.col("home")).alias("away"))
+    now = stored(now, "near-open")
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("bunch", *more, *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "label", "n", "c")])
+
+    # of two members in different components one at least is not in the pivot's
+    cross = F.col("label_a") != F.col("label_b")
+    enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    wide = now.where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("floor")))
+    by_size = side(wide.where("away"), "a").join(side(wide, "b"), "bunch").where(cross & enough)
+    # the least number of shingles beyond the pivot's that any link of a member needs, and so how
+    # many of its own, the rarest first, must hold one that the other's have too
+    beyond = F.ceil(percent * (F.col("n") + F.greatest(F.col("n") * percent / 100, F.col("floor"))) / (100 + percent) - 1e-9) - F.col("c")
+    length = F.size("own") - F.greatest(beyond, F.lit(1)) + 1
+    exploded = now.where(length > 0).select("bunch", "rep", "label", "n", "c", "away", length.cast("int").alias("length"), F.explode("own").alias("s"))
+    rarity = exploded.groupBy("bunch", "s").agg(F.count(F.lit(1)).alias("df"), F.max("away").alias("away")).where("df > 1 and away").select("bunch", "s", "df")
+    counted = exploded.drop("away").join(rarity, ["bunch", "s"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ordered = counted.groupBy("bunch", "rep", "label", "n", "c", "length").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    prefix = ordered.select("bunch", "rep", "label", "n", "c", F.explode(F.slice("all", F.lit(1), F.col("length"))).alias("p")).select("bunch", "rep", "label", "n", "c", F.col("p.df").alias("df"), F.col("p.s").alias("s")).where("df > 1")
+    prefix = stored(prefix.join(now.select("bunch", "rep", "away"), ["bunch", "rep"]), "near-open")
+    by_own = side(prefix.where("away"), "a", "s").join(side(prefix, "b", "s"), ["bunch", "s"]).where(cross & ~enough)
+    named = open_.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
+    left, right = (named.select("key", F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}"), F.col("bunch").alias(f"bunch_{x}")) for x in "ab")
+    apart = left.join(right, "key").where(cross & (F.col("bunch_a") != F.col("bunch_b")) & (F.col("rep_a") > F.col("rep_b")))
+    pairs = by_size.select("rep_a", "rep_b").unionByName(by_own.select("rep_a", "rep_b")).unionByName(apart.select("rep_a", "rep_b"))
+    pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+    return edges.unionByName(verified(pairs, texts, width, percent))
 
 
 def packed_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -186,13 +282,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
         if texts is None:
             texts = stored(packed_texts(docs, open_.select("rep").distinct()), "near-texts")
         if turn < rounds:
-            meets = open_.where(F.col("label") != F.col("lead.label"))
-            pairs = meets.groupBy(F.col("rep").alias("a")).agg(F.min_by(F.col("lead.rep"), F.xxhash64(F.lit(turn), "lead.rep") if turn else F.col("lead.rep")).alias("b"))
-        else:  # whatever is left is settled pair by pair, across components only
-            x, y = open_.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("a > b and la <> lb").select("a", "b").distinct()
-        good = stored(verified(pairs, texts, width, percent), "near-links")
-        edges = good if edges is None else edges.unionByName(good)
+            meets = open_.where(F.col("label") != F.col("lead.label")).groupBy("rep", F.col("lead.rep").alias("led")).agg(F.count(F.lit(1)).alias("n"))
+            pairs = meets.groupBy(F.col("rep").alias("a")).agg(F.max_by("led", F.struct("n", -F.col("led"))).alias("b"))
+            good = stored(verified(pairs, texts, width, percent), "near-links")
+            edges = good if edges is None else edges.unionByName(good)
+        else:
+            edges = stored(settled(open_, texts, edges, width, percent), "near-links")
         labels = components(edges)
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, label long")
 
