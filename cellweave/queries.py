@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.book import Book
+from .ports import SheetFunction, manifest
+from .sources import read_csv, write_csv
+from .storage import work_path
+from .streaming import windowed
+from .workbook import Workbook
 
 #: The order of the rows of each table.
 ORDERS = {
@@ -231,3 +236,71 @@ spill("frequency", "=FREQUENCY(lineitem[l_quantity],{10,20,30})", ("lineitem",),
 spill("mode_mult", "=MODE.MULT(part[p_size])", ("part",), "select p_size::double as value from part group by 1 having count(*)=(select max(n) from (select count(*) n from part group by p_size))")
 spill("linest", "=LINEST(lineitem[l_extendedprice],lineitem[l_quantity])", ("lineitem",), "select round(regr_slope(l_extendedprice,l_quantity),4) as slope, round(regr_intercept(l_extendedprice,l_quantity),4) as intercept from lineitem", rounded={"slope": 4, "intercept": 4})
 spill("trend", "=TREND(lineitem[l_extendedprice],lineitem[l_quantity],{1;2;3})", ("lineitem",), "select round(regr_intercept(l_extendedprice,l_quantity)+x*regr_slope(l_extendedprice,l_quantity),4) as value from lineitem, (select unnest([1,2,3]) x) group by x", rounded={"value": 4})
+
+# -- files, ports, cells and streams --------------------------------------------------------
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read back with strict inference."""
+    path = work_path(spark, "part-csv")
+    write_csv(spark.read.parquet(f"{sf_dir}/part.parquet"), path)
+    return read_csv(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+QUERIES["csv_round_trip"] = csv_round_trip
+SQL["csv_round_trip"] = "select p_partkey, p_name, p_brand, p_type, p_size::double as p_size, p_retailprice from part"
+
+#: A small model: price, discount and quantity in, net and a grade out.
+MODEL = """{"ports": [
+ {"id": "price", "dir": "in", "shape": "scalar", "location": {"a1": "Model!A1"}, "schema": {"type": "number"}, "constraints": {"min": 0}},
+ {"id": "discount", "dir": "in", "shape": "scalar", "location": {"name": "discount"}, "schema": {"type": "number"}},
+ {"id": "net", "dir": "out", "shape": "scalar", "location": {"a1": "Model!A4"}, "schema": {"type": "number"}},
+ {"id": "grade", "dir": "out", "shape": "scalar", "location": {"a1": "Model!A5"}, "schema": {"type": "string"}}]}"""
+
+
+def port_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook as a function over a scenario a row; those that break a constraint carry an error."""
+    model = Workbook()
+    model.set_values("Model", 1, 1, [[0], [0]])
+    model.define_name("discount", "=Model!A2")
+    model.set_formulas("Model", 4, 1, [["=A1*(1-discount)"], ['=XLOOKUP(A4,{0,1000,50000},{"low","mid","high"},,-1)']])
+    scenarios = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") - 2000).alias("price"), ((F.col("o_orderkey") % 10) / 100).alias("discount"))
+    return SheetFunction(model, manifest(MODEL)).over(scenarios).select("o_orderkey", "net", "grade", F.col("error").isNotNull().alias("failed"))
+
+
+QUERIES["port_scenarios"] = port_scenarios
+SQL["port_scenarios"] = """
+with s as (select o_orderkey, o_totalprice-2000 as price, (o_orderkey%10)/100.0::double as discount from orders)
+select o_orderkey, case when price>=0 then price*(1-discount) end as net,
+       case when price<0 then null when price*(1-discount)>=50000 then 'high' when price*(1-discount)>=1000 then 'mid' else 'low' end as grade, price<0 as failed from s
+"""
+
+
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet filled from a table, with formulas; its cells as a frame."""
+    rows_ = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
+    sheet = Workbook()
+    sheet.set_values("N", 1, 1, [[r.n_nationkey, r.n_regionkey] for r in rows_])
+    sheet.set_formulas("N", 1, 3, [[f"=A{i}*10+B{i}"] for i in range(1, len(rows_) + 1)])
+    sheet.set_formula("N", 1, 5, f"=SUM(C1:C{len(rows_)})")
+    cells = sheet.to_frame(spark).where("formula is not null")
+    return cells.select("row", "col", "num")
+
+
+QUERIES["workbook_cells"] = workbook_cells
+SQL["workbook_cells"] = 'select (n_nationkey+1)::int as "row", 3::int as col, (n_nationkey*10+n_regionkey)::double as num from nation union all select 1, 5, sum(n_nationkey*10+n_regionkey)::double from nation'
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reductions over event-time windows of a stream that is run to its end."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    got = windowed(stream, "ts", "30 days", {"n": "=COUNT(stream[value])", "views": '=COUNTIFS(stream[event_type],"view",stream[value],">=50")', "total": "=SUM(stream[value])"}, watermark="3650 days")
+    path = work_path(spark, "windows")
+    query = got.writeStream.outputMode("complete").option("checkpointLocation", path + "-state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    query.awaitTermination()
+    return spark.read.parquet(path).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", "views", F.round("total", 2).alias("total"))
+
+
+QUERIES["stream_windows"] = stream_windows
+SQL["stream_windows"] = "select strftime(time_bucket(interval 30 days, ts, timestamp '1970-01-01'),'%Y-%m-%d') as start, count(value)::double as n, (count(*) filter (where event_type='view' and value>=50))::double as views, round(sum(value),2) as total from events group by 1"
