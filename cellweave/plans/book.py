@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..formula.nodes import Literal, Node, TableRef
+from ..formula.nodes import Literal, NameRef, Node, TableRef
 from ..formula.parser import parse
 from ..functions import REGISTRY, register_custom, unregister_custom
 from ..operators.order import Key
@@ -117,7 +117,7 @@ class Book:
             self._kinds[table] = {f.name: f.dataType for f in df.schema.fields}
             for name in self.sequence(table):
                 rows = Rows(self, table, t.anchors.get(name))
-                x = rows.compile(t.formulas[name])
+                x = rows.compile(self.bound(t.formulas[name]))
                 df = rows.applied(df).withColumn(name, C.guard(x.col, x.err))
                 df = df.select(*[c for c in df.columns if not c.startswith(f"__{table}_")])
                 self._kinds[table][name] = df.schema[name].dataType
@@ -151,6 +151,16 @@ class Book:
             kind = self.frame(table).schema[name].dataType
         return C.of_column(F.col(f"`{name}`"), kind)
 
+    def bound(self, node: Node) -> Node:
+        """A name that is a table's becomes a reference to the whole table."""
+        node = node.map(self.bound)
+        if isinstance(node, NameRef) and node.sheet is None and node.name.lower() in self.tables and node.name.lower() not in self.names:
+            return TableRef(node.name, None, None)
+        return node
+
+    def parsed(self, formula: str) -> Node:
+        return self.bound(parse(formula))
+
     # -- results
 
     def select(self, table: str, formulas: Mapping[str, str], keep: Iterable[str] = (), errors: bool = False, anchor: int | None = None) -> DataFrame:
@@ -161,7 +171,7 @@ class Book:
         table = table.lower()
         base = self.frame(table)
         rows = Rows(self, table, anchor)
-        made = {n: rows.compile(parse(f)) for n, f in formulas.items()}
+        made = {n: rows.compile(self.parsed(f)) for n, f in formulas.items()}
         df = rows.applied(base)
         out = [F.col(f"`{c}`") for c in keep]
         for n, x in made.items():
@@ -178,12 +188,12 @@ class Book:
 
     def query(self, formula: str) -> DataFrame:
         """The frame that an array formula spills."""
-        return Compiler(self).relation(parse(formula)).frame()
+        return Compiler(self).relation(self.parsed(formula)).frame()
 
     def scalars(self, formulas: Mapping[str, str], errors: bool = False) -> DataFrame:
         """One row with the values of formulas over whole tables; a table is read once for all of them."""
         rows = Rows(self, "")
-        made = {n: rows.compile(parse(f)) for n, f in formulas.items()}
+        made = {n: rows.compile(self.parsed(f)) for n, f in formulas.items()}
         df = rows.applied(self.spark.range(1))
         out = []
         for n, x in made.items():

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..formula.nodes import ArrayLiteral, Call, NameRef, Node, Omitted, TableRef
+from ..formula.nodes import ArrayLiteral, Binary, Call, Literal, NameRef, Node, Omitted, TableRef
 from ..functions.lookup import AGGREGATIONS, SYNONYMS
 from ..operators import order
-from ..values import plain
+from ..values import Criterion, plain
 from . import aggregates as A
 from . import columns as C
 from .columns import Ex, Unsupported
+from .criteria import predicate
 
 #: Rows and columns that TRANSPOSE and wide pivots may have.
 WIDE = 1000
@@ -133,7 +134,40 @@ class Compiler:
         x = rows.compile(node)
         return replace(rel, df=rows.applied(rel.df)), x
 
+    def membership(self, node: Node) -> tuple[Node, TableRef, bool] | None:
+        """(needle, column, wanted) of a test whether a value stands in another table's column."""
+        if isinstance(node, Call) and node.name == "NOT" and len(node.args) == 1:
+            inner = self.membership(node.args[0])
+            return inner and (inner[0], inner[1], not inner[2])
+        if isinstance(node, Call) and node.name in ("ISNUMBER", "ISNA", "ISERROR") and len(node.args) == 1:
+            m = node.args[0]
+            exact = isinstance(m, Call) and (m.name == "MATCH" and len(m.args) == 3 and m.args[2] == Literal(0) or m.name == "XMATCH" and len(m.args) == 2)
+            if exact and isinstance(m.args[1], TableRef):
+                return m.args[0], m.args[1], node.name == "ISNUMBER"
+        if isinstance(node, Binary) and node.op in (">", "=") and node.right == Literal(0) and isinstance(node.left, Call) and node.left.name == "COUNTIF" and isinstance(node.left.args[0], TableRef):
+            return node.left.args[1], node.left.args[0], node.op == ">"
+        return None
+
+    def joined(self, rel: Relation, needle: Node, column: TableRef, wanted: bool) -> Relation | None:
+        """A semi or anti join, where the needle is a column and the keys are of one kind."""
+        other = self.book.table_of([column])
+        rel, x = self.over(rel, needle)
+        base = self.book.frame(other)
+        k = self.book.column_ex(other, {c.lower(): c for c in self.book.tables[other].names()}[column.first.lower()])
+        if (x.kind == "text") != (k.kind == "text") or x.err is not None or x.literal:
+            return None
+        own, keys = (F.lower(F.coalesce(x.col, F.lit(""))), F.lower(F.coalesce(k.col, F.lit("")))) if x.kind == "text" else (C.num(x).col, F.coalesce(A.lane(k), F.lit(0.0)))
+        right = base.select(keys.alias("__key"))
+        return replace(rel, df=rel.df.withColumn("__own", own).join(right, F.col("__own") == F.col("__key"), "left_semi" if wanted else "left_anti").drop("__own"))
+
     def on_filter(self, args: tuple[Node, ...]) -> Relation:
+        test_of = self.membership(args[1])
+        if test_of is not None and self.given(args, 2) is None:
+            rel = self.relation(args[0])
+            if rel.table is not None and rel.table != self.book.table_of([test_of[1]]):
+                got = self.joined(rel, *test_of)
+                if got is not None:
+                    return got
         rel, test = self.over(self.relation(args[0]), args[1])
         kept = replace(rel, df=rel.df.where(F.coalesce(C.guard(C.boolean(test).col if test.kind != "text" else F.lit(False), test.err), F.lit(False))))
         other = self.given(args, 2)
@@ -228,6 +262,43 @@ class Compiler:
         picks = self.spark.createDataFrame([(i if i > 0 else n + i + 1, p) for p, i in enumerate(wanted)], "__at long, __p int")
         return Relation(done.join(F.broadcast(picks), "__at"), rel.settled().out, [("__p", True)], True)
 
+    def on_index(self, args: tuple[Node, ...]) -> Relation:
+        """A row, a column or one value, by position."""
+        rel = self.relation(args[0])
+        r, c = int(self.number(args, 1, 0)), int(self.number(args, 2, 0))
+        if c:
+            rel = replace(rel, out=[rel.out[c - 1]])
+        if not r:
+            return rel
+        if rel.order is None:
+            raise Unsupported("INDEX needs a table with an order")
+        near = rel.df.orderBy(*order.keys_of(rel.order)).limit(r)  # r rows at most
+        last = near.orderBy(*order.keys_of([(n, not up) for n, up in rel.order])).limit(1)
+        short = near.agg(F.count(F.lit(1)).alias("__n")).where(f"__n = {r}")
+        return replace(rel, df=last.crossJoin(F.broadcast(short)), order=None)
+
+    def on_xlookup(self, args: tuple[Node, ...]) -> Relation:
+        """The row of a constant key: the first (or last) match, in the table's order."""
+        key, heads, results = A.constant(args[0]), self.relation(args[1]), self.relation(args[2])
+        if heads.table is None or heads.table != results.table or self.number(args, 4, 0) != 0:
+            raise Unsupported("XLOOKUP of a constant over columns of one table")
+        kind = heads.df.select(heads.out[0][1].alias("x")).schema[0].dataType
+        hit = predicate(C.of_column(heads.out[0][1], kind), Criterion("=", key))
+        found = results.df.where(hit)
+        keys = results.order or []
+        up = self.number(args, 5, 1) > 0
+        first = found.orderBy(*order.keys_of(keys if up else [(n, not a) for n, a in keys])).limit(1) if keys else found.limit(1)
+        got = replace(results, df=first, order=None)
+        if self.given(args, 3) is None:
+            return got
+        value = A.constant(args[3])
+        done = got.settled()
+        types = {f.name: f.dataType for f in done.df.schema.fields}
+        fill = self.spark.range(1).select(*[F.lit(plain(value)).cast("string").alias(n) for n in types])
+        some = done.df.agg(F.count(F.lit(1)).alias("__n"))
+        fill = fill.crossJoin(F.broadcast(some)).where("__n = 0").drop("__n")
+        return replace(done, df=done.df.select(*[F.col(f"`{n}`").cast("string").alias(n) for n in types]).unionByName(fill) if any(t.simpleString() != "string" for t in types.values()) and isinstance(value, str) else done.df.unionByName(fill.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in types.items()])))
+
     # -- stacking and reshaping
 
     def on_vstack(self, args: tuple[Node, ...]) -> Relation:

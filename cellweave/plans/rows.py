@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..formula.nodes import ArrayLiteral, Binary, Call, CellRef, ErrorLiteral, Invoke, Literal, NameRef, Node, Omitted, RangeRef, TableRef, Unary
+from ..formula.parser import parse
 from ..operators import lookup, order
 from ..values import NA, REF, VALUE, Error, Grid, criterion, has_wildcard
 from . import aggregates as A
@@ -180,6 +181,18 @@ class Rows:
             return self.rank(name, args, names)
         if A.is_reduction(node) and whole and not any(self.row_bound(a, names) for a in args):
             return self.one_row(node, names)
+        if name in ("COLUMN", "COLUMNS", "ISREF", "SHEET", "SHEETS", "ISFORMULA", "INDIRECT"):
+            return self.shape(name, args, names)
+        if name == "INDEX" and whole and not any(self.row_bound(a, names) for a in args):
+            from .relations import Compiler
+
+            got = Compiler(self.book).on_index(args).frame()
+            v, (column, *_) = self.fresh(), got.columns
+            kind = got.schema[0].dataType
+            one = got.limit(1).agg(F.first(F.col(f"`{column}`")).alias(v), F.count(F.lit(1)).alias(f"{v}_n"))
+            self.step(("one", v), lambda df, wants: df.crossJoin(F.broadcast(one)))  # a frame of one row
+            x = C.of_column(F.col(v), kind)
+            return Ex(x.kind, x.col, C.flag(REF, F.col(f"{v}_n") == 0))
         if name == "ROW" and not args:
             col = self.fresh()
             self.step(("row",), lambda df, wants: order.with_ordinal(df, self.book.order_of(self.table), next(iter(wants)))).wants.setdefault(col, None)
@@ -190,6 +203,28 @@ class Rows:
         arrays = {i: Grid([[A.constant(v) for v in row] for row in a.rows]) for i, a in enumerate(args) if isinstance(a, ArrayLiteral)}
         return C.call(name, [self.compile(a, names) for a in args], arrays)
 
+    def shape(self, name: str, args: tuple[Node, ...], names: dict) -> Ex:
+        """What is known of a reference without reading it."""
+        if name == "SHEETS":
+            return literal(len(self.book.tables))
+        if name == "ISFORMULA":
+            return literal(False)
+        if name == "ISREF":
+            return literal(isinstance(args[0], (TableRef, CellRef, RangeRef)))
+        if name == "SHEET":
+            table = self.book.table_of(args) if args else self.table
+            return literal(list(self.book.tables).index(table) + 1 if table else 1)
+        if name == "INDIRECT":
+            text_ = A.constant(args[0])
+            return self.compile(parse(str(text_)), names)
+        ref = args[0] if args else None
+        if not isinstance(ref, TableRef):
+            raise Unsupported(f"{name} of this")
+        low = [c.lower() for c in self.book.tables[(ref.table or self.table).lower()].names()]
+        first = low.index(ref.first.lower()) + 1 if ref.first else 1
+        last = low.index(ref.last.lower()) + 1 if ref.last else len(low)
+        return literal(first if name == "COLUMN" else abs(last - first) + 1)
+
     def is_range(self, node: Node) -> bool:
         return any(isinstance(n, TableRef) and not n.this_row and n.table is not None for n in node.walk())
 

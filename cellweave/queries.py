@@ -179,6 +179,12 @@ rows("asof_lookup", "customer", {"s": "=IFNA(XLOOKUP([@c_acctbal],supplier[s_acc
 rows("wildcard_lookup", "nation", {"c": '=XLOOKUP([@n_name]&"*",nation[n_name],nation[n_nationkey],-1,2)'}, ["n_nationkey"], "select n_nationkey, (select m.n_nationkey::double from nation m where m.n_name like n.n_name||'%' order by m.n_nationkey limit 1) as c from nation n")
 spill("semi_match", "=FILTER(customer[c_custkey],ISNUMBER(MATCH(customer[c_custkey],orders[o_custkey],0)))", ("customer", "orders"), "select c_custkey from customer where c_custkey in (select o_custkey from orders)")
 
+spill("countif_semi", "=FILTER(part[p_partkey],COUNTIF(lineitem[l_partkey],part[p_partkey])>0)", ("part", "lineitem"), "select p_partkey from part where p_partkey in (select l_partkey from lineitem)")
+spill("index_row", "=INDEX(customer[[c_custkey]:[c_name]],7,0)", ("customer",), "select c_custkey, c_name from customer order by c_custkey limit 1 offset 6")
+spill("xlookup_row", '=XLOOKUP("nation_7",nation[n_name],nation[[n_nationkey]:[n_regionkey]])', ("nation",), "select n_nationkey, n_name, n_regionkey from nation where lower(n_name)='nation_7'")
+rows("references", "part", {"c": "=COLUMN(part[p_brand])", "n": "=COLUMNS(part[[p_name]:[p_size]])", "r": "=ROWS(part)", "s": "=ISREF(part[p_size])", "i": '=INDIRECT("[@p_size]")*2', "x": "=INDEX(part[p_name],3)", "w": "=ROW()"}, ["p_partkey"],
+     "select p_partkey, 3.0::double as c, 4.0::double as n, (select count(*) from part)::double as r, true as s, p_size*2.0::double as i, (select p_name from part order by p_partkey limit 1 offset 2) as x, row_number() over (order by p_partkey)::double as w from part".replace("row_number() over (order by p_partkey)::double", "(row_number() over (order by p_partkey))::double"))
+
 
 def _big(b: Book) -> None:
     b.table("big", b.frame("orders").where("o_orderstatus='P' and o_totalprice>400000"), ["o_orderkey"])
