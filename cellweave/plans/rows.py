@@ -23,6 +23,10 @@ from .columns import Ex, Unsupported, literal
 from .criteria import predicate
 
 
+#: Reductions of FILTER(column, tests) and the criteria aggregates that say the same.
+FILTERED = {"SUM": "SUMIFS", "AVERAGE": "AVERAGEIFS", "MAX": "MAXIFS", "MIN": "MINIFS", "COUNT": "COUNTIFS", "COUNTA": "COUNTIFS", "ROWS": "COUNTIFS"}
+
+
 @dataclass
 class Step:
     """A change of the frame; columns may be added to it until it is applied."""
@@ -167,6 +171,13 @@ class Rows:
             return self.compile(args[-1], inner)
         if self.anchor is not None and args and isinstance(args[0], RangeRef):
             return self.frame_function(name, args, names)
+        if name in FILTERED and len(args) == 1 and isinstance(args[0], Call) and args[0].name == "FILTER" and self.row_bound(args[0], names):
+            pairs = self.equalities(args[0].args[1])
+            if pairs is not None:  # the rows of another table that belong to this one
+                tests = tuple(x for p in pairs for x in p)
+                n = self.on_call(Call("COUNTIFS", tests), names)
+                got = n if FILTERED[name] == "COUNTIFS" else self.on_call(Call(FILTERED[name], (args[0].args[0], *tests)), names)
+                return Ex(got.kind, got.col, C.errors(C.flag("#CALC!", n.col == 0), got))
         whole = [a for a in args if self.is_range(a)]
         if name in A.CRITERIA and whole and any(self.row_bound(a, names) for a in args):
             return self.group_join(name, args, names)
@@ -203,6 +214,17 @@ class Rows:
         arrays = {i: Grid([[A.constant(v) for v in row] for row in a.rows]) for i, a in enumerate(args) if isinstance(a, ArrayLiteral)}
         return C.call(name, [self.compile(a, names) for a in args], arrays)
 
+    def equalities(self, node: Node) -> list[tuple[Node, Node]] | None:
+        """(column, criterion) pairs of a product of comparisons with columns, or None."""
+        if isinstance(node, Binary) and node.op == "*":
+            a, b = self.equalities(node.left), self.equalities(node.right)
+            return a + b if a is not None and b is not None else None
+        if isinstance(node, Binary) and node.op in ("=", "<", "<=", ">", ">=", "<>") and isinstance(node.left, TableRef) and node.left.table and not node.left.this_row:
+            if node.op == "=":
+                return [(node.left, node.right)]
+            return [(node.left, Binary("&", Literal(node.op), node.right))]
+        return None
+
     def shape(self, name: str, args: tuple[Node, ...], names: dict) -> Ex:
         """What is known of a reference without reading it."""
         if name == "SHEETS":

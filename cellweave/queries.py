@@ -197,6 +197,8 @@ spill("anti_match", "=FILTER(customer[c_custkey],ISNA(MATCH(customer[c_custkey],
 rows("countifs_correlated", "customer", {"n": "=COUNTIFS(orders[o_custkey],[@c_custkey])"}, ["c_custkey"], "select c_custkey, coalesce(n,0)::double as n from customer left join (select o_custkey,count(*) n from orders group by 1) on o_custkey=c_custkey", more=("orders",))
 rows("sumifs_correlated", "customer", {"s": '=ROUND(SUMIFS(orders[o_totalprice],orders[o_custkey],[@c_custkey],orders[o_orderstatus],"f"),2)', "a": "=ROUND(IFERROR(AVERAGEIFS(orders[o_totalprice],orders[o_custkey],[@c_custkey]),0),2)", "m": "=MAXIFS(orders[o_totalprice],orders[o_custkey],[@c_custkey])"}, ["c_custkey"],
      "select c_custkey, round(coalesce(sum(o_totalprice) filter (where o_orderstatus='F'),0),2) as s, round(coalesce(avg(o_totalprice),0),2) as a, coalesce(max(o_totalprice),0) as m from customer left join orders on o_custkey=c_custkey group by 1", more=("orders",))
+rows("filter_per_row", "customer", {"s": '=IFERROR(ROUND(SUM(FILTER(orders[o_totalprice],(orders[o_custkey]=[@c_custkey])*(orders[o_orderstatus]="F"))),2),-1)', "n": "=IFERROR(ROWS(FILTER(orders[o_orderkey],orders[o_custkey]=[@c_custkey])),0)"}, ["c_custkey"],
+     "select c_custkey, coalesce(round(sum(o_totalprice) filter (where o_orderstatus='F'),2),-1) as s, count(o_orderkey)::double as n from customer left join orders on o_custkey=c_custkey group by 1", more=("orders",))
 rows("countif_below", "customer", {"n": '=COUNTIF(customer[c_acctbal],"<="&[@c_acctbal])', "g": '=COUNTIFS(customer[c_mktsegment],[@c_mktsegment],customer[c_acctbal],">"&[@c_acctbal])'}, ["c_custkey"],
      "select c_custkey, count(*) over (order by c_acctbal range unbounded preceding)::double as n, (rank() over (partition by c_mktsegment order by c_acctbal desc)-1)::double as g from customer")
 rows("share_of_total", "customer", {"share": "=[@c_acctbal]/SUM(customer[c_acctbal])", "gap": "=[@c_acctbal]-AVERAGE(customer[c_acctbal])"}, ["c_custkey"], "select c_custkey, c_acctbal/(select sum(c_acctbal) from customer) as share, c_acctbal-(select avg(c_acctbal) from customer) as gap from customer")

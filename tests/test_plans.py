@@ -210,3 +210,28 @@ def test_hidden_rows(spark):
     df = spark.createDataFrame([(1, 10.0, False), (2, 20.0, True)], "k int, v double, h boolean")
     b = Book(spark).table("t", df, ["k"], hidden=F.col("h"))
     assert b.value("=SUBTOTAL(9,t[v])") == 30 and b.value("=SUBTOTAL(109,t[v])") == 10 and b.value("=AGGREGATE(9,1,t[v])") == 10
+
+
+def test_membership_tests_are_semi_and_anti_joins(book):
+    assert "LeftSemi" in plan(book.query("=FILTER(customer[c_custkey],ISNUMBER(MATCH(customer[c_custkey],orders[o_custkey],0)))"))
+    assert "LeftAnti" in plan(book.query("=FILTER(customer[c_custkey],COUNTIF(orders[o_custkey],customer[c_custkey])=0)"))
+
+
+def test_xlookup_of_a_constant(book):
+    assert [tuple(r) for r in book.query("=XLOOKUP(3,customer[c_custkey],customer[c_name])").collect()] == [("Customer#000000003",)]
+    assert [tuple(r) for r in book.query('=XLOOKUP(-3,customer[c_custkey],customer[c_acctbal],"none")').collect()] == [("none",)]
+
+
+def test_constant_arrays_reach_the_library(small):
+    got = {r["id"]: tuple(r)[1:] for r in small.select("t", {"a": "=SERIESSUM([@id],0,1,{1,2})", "b": "=NETWORKDAYS(45292,45292+[@id],{45293})"}, ["id"]).collect()}
+    assert got[1] == (3.0, 1.0) and got[3] == (7.0, 3.0)
+
+
+def test_group_join_counts_with_several_kinds_of_criteria(spark):
+    left = spark.createDataFrame([(i, "k%d" % (i % 3), float(i)) for i in range(30)], "id int, k string, v double")
+    right = spark.createDataFrame([("K1", 5.0, "x"), ("k1", 7.0, "y"), ("k2", 1.0, "x"), (None, 9.0, "x")], "k string, v double, t string")
+    b = Book(spark).table("l", left, ["id"]).table("r", right, ["v"])
+    got = {r.id: (r.a, r.b, r.c) for r in b.select("l", {"a": "=SUMIFS(r[v],r[k],[@k])", "b": '=COUNTIFS(r[k],[@k],r[t],"X")', "c": '=SUMIFS(r[v],r[v],"<="&[@v])'}, ["id"]).collect()}
+    for i in range(30):
+        mine = [(v, t) for k, v, t in [("k1", 5, "x"), ("k1", 7, "y"), ("k2", 1, "x")] if k == f"k{i % 3}"]
+        assert got[i] == (sum(v for v, _ in mine), sum(t == "x" for _, t in mine), sum(v for v in (5, 7, 1, 9) if v <= i))
