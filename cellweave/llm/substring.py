@@ -248,6 +248,7 @@ def shard_owners(distinct: DataFrame, width: int, shard_words: int) -> DataFrame
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor_words: int = ANCHOR_WORDS, common: int = COMMON, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, t, spans): first and last word of each maximal removed span, of documents that have any."""
     bounded_batches(docs.sparkSession, 1000)
+    anchor_words = min(anchor_words, width)
     anchors = stored(shared_anchors(docs, width, anchor_words, common), "shared-anchors")
     parts = stored(segments(packed(docs), anchors, width, anchor_words), "segments")
     distinct = parts.groupBy("h", "s1", "s2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
