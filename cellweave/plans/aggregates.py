@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..formula.nodes import ArrayLiteral, Call, Literal, Node, Omitted, TableRef, Unary
 from ..functions.mathematics import SUBTOTALS
-from ..operators.order import with_ordinal
+from ..operators.order import values_at, with_ordinal
 from ..values import DIV0, NA, NIMPL, NUM, VALUE, Error, criterion
 from . import columns as C
 from .columns import Ex, Unsupported, errors, flag, literal
@@ -213,6 +213,8 @@ def reduce_(book, rows, name: str, args: tuple[Node, ...], locals_: dict) -> Red
         if hidden is not None:
             x = Ex(x.kind, F.when(~hidden, x.col), None if x.err is None else F.when(~hidden, x.err))
         return Reduction(table, *simple(SUBTOTALS[code % 100], x))
+    if name == "MEDIAN" and len(args) == 1:
+        return several_passes(book, name, args, table, array, locals_)
     if name in ONE:
         parts = [array(a) for a in args]
         if len(parts) > 1:
@@ -238,12 +240,6 @@ def reduce_(book, rows, name: str, args: tuple[Node, ...], locals_: dict) -> Red
         return database(book, rows, name, args, table, array)
     if name == "ROWS":
         return Reduction(table, *plain(lambda c: c, F.count(F.lit(1))))
-    if name in ("PERCENTILE.INC", "QUARTILE.INC"):
-        p = number_of(args[1]) if name == "PERCENTILE.INC" else int(number_of(args[1])) / 4
-        if not 0 <= p <= 1:
-            return Reduction(table, [F.lit(1)], lambda cols: literal(Error(NUM)))
-        v = lane(array(args[0]))
-        return Reduction(table, *plain(lambda q, c: q, F.percentile(v, F.lit(p)), F.count(v), bad=few(1, NUM)))
     if name == "Z.TEST":
         v, at = lane(array(args[0])), number_of(args[1])
         sigma = F.lit(float(number_of(args[2]))) if len(args) > 2 else None
@@ -324,14 +320,22 @@ def several_passes(book, name: str, args: tuple[Node, ...], table: str, array, l
         top = v.orderBy(F.desc("v0") if name == "LARGE" else F.asc("v0")).limit(max(k, 0))
         one = top.agg((F.min if name == "LARGE" else F.max)("v0").alias("v"), F.count(F.lit(1)).alias("n"))
         return finished(one, flag(NUM, (F.col("n") < k) | F.lit(k < 1)))
-    if name in ("PERCENTILE.EXC", "QUARTILE.EXC"):
-        p = number_of(args[1]) if name == "PERCENTILE.EXC" else int(number_of(args[1])) / 4
-        v = frame(args[0])
-        n = v.agg(F.count("v0")).first()[0]
-        place = p * (n + 1)
-        if not 0 < p < 1 or not 1 <= place <= n:
+    if name in ("MEDIAN", "PERCENTILE.INC", "QUARTILE.INC", "PERCENTILE.EXC", "QUARTILE.EXC"):
+        p = 0.5 if name == "MEDIAN" else number_of(args[1]) if name.startswith("PERCENTILE") else int(number_of(args[1])) / 4
+        x = array(args[0])
+        met = None if x.err is None else book.frame(table).select(x.err.alias("e")).where("e is not null").first()
+        if met is not None:
+            return Reduction(table, [F.lit(1)], lambda cols: literal(Error(met["e"])))
+
+        def place(n: int) -> float:
+            return p * (n + 1) - 1 if name.endswith("EXC") else p * (n - 1)
+
+        n, found = values_at(frame(args[0]).select("v0"), "v0", lambda n: (math.floor(place(n)), math.ceil(place(n))) if n and 0 <= place(n) <= n - 1 else ())
+        if not found:
             return Reduction(table, [F.lit(1)], lambda cols: literal(Error(NUM)))
-        return finished(v.agg(F.percentile("v0", F.lit((place - 1) / (n - 1) if n > 1 else 0.0)).alias("v")))
+        low, high = found[math.floor(place(n))], found[math.ceil(place(n))]
+        got = low + (place(n) - math.floor(place(n))) * (high - low)
+        return Reduction(table, [F.lit(1)], lambda cols: literal(float(got)))
     if name == "AVEDEV":
         v = frame(args[0])
         one = v.crossJoin(F.broadcast(v.agg(F.avg("v0").alias("m")))).agg(F.avg(F.abs(F.col("v0") - F.col("m"))).alias("v"), F.count("v0").alias("n"))
