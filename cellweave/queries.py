@@ -183,7 +183,7 @@ spill("countif_semi", "=FILTER(part[p_partkey],COUNTIF(lineitem[l_partkey],part[
 spill("index_row", "=INDEX(customer[[c_custkey]:[c_name]],7,0)", ("customer",), "select c_custkey, c_name from customer order by c_custkey limit 1 offset 6")
 spill("xlookup_row", '=XLOOKUP("nation_7",nation[n_name],nation[[n_nationkey]:[n_regionkey]])', ("nation",), "select n_nationkey, n_name, n_regionkey from nation where lower(n_name)='nation_7'")
 rows("references", "part", {"c": "=COLUMN(part[p_brand])", "n": "=COLUMNS(part[[p_name]:[p_size]])", "r": "=ROWS(part)", "s": "=ISREF(part[p_size])", "i": '=INDIRECT("[@p_size]")*2', "x": "=INDEX(part[p_name],3)", "w": "=ROW()"}, ["p_partkey"],
-     "select p_partkey, 3.0::double as c, 4.0::double as n, (select count(*) from part)::double as r, true as s, p_size*2.0::double as i, (select p_name from part order by p_partkey limit 1 offset 2) as x, row_number() over (order by p_partkey)::double as w from part".replace("row_number() over (order by p_partkey)::double", "(row_number() over (order by p_partkey))::double"))
+     "select p_partkey, 3.0::double as c, 4.0::double as n, (select count(*) from part)::double as r, true as s, p_size*2.0::double as i, (select p_name from part order by p_partkey limit 1 offset 2) as x, (row_number() over (order by p_partkey))::double as w from part")
 
 
 def _big(b: Book) -> None:
@@ -208,10 +208,8 @@ rows("share_of_total", "customer", {"share": "=[@c_acctbal]/SUM(customer[c_acctb
 rows("rank_eq", "customer", {"r": "=RANK.EQ([@c_acctbal],customer[c_acctbal])", "up": "=RANK.EQ([@c_acctbal],customer[c_acctbal],1)", "av": "=RANK.AVG([@c_acctbal],customer[c_acctbal])"}, ["c_custkey"],
      "select c_custkey, rank() over (order by c_acctbal desc)::double as r, rank() over (order by c_acctbal)::double as up, rank() over (order by c_acctbal desc)+(count(*) over (partition by c_acctbal)-1)/2.0 as av from customer")
 rows("percentrank", "customer", {"p": "=PERCENTRANK.INC(customer[c_acctbal],[@c_acctbal],6)"}, ["c_custkey"], "select c_custkey, floor(percent_rank() over (order by c_acctbal)*1000000+1e-12)/1000000 as p from customer")
-rows("running_sum", "events", {"rs": "=ROUND(SUM(E$1:E1),2)", "rc": "=COUNT(E$1:E1)", "rx": "=MAX(E$1:E1)"}, ["event_id"], "select event_id, floor(sum(value) over w*100+0.5)/100 as rs, count(value) over w::double as rc, max(value) over w as rx from events window w as (order by event_id rows unbounded preceding)".replace("count(value) over w::double", "(count(value) over w)::double"), anchor=1)
-rows("moving_average", "events", {"ma": "=ROUND(AVERAGE(E1:E3),4)", "prev": "=IF([@event_id]=0,0,E0+0)", "nxt": "=ROUND(E2-E1,4)"}, ["event_id"], None, anchor=1)
+rows("running_sum", "events", {"rs": "=ROUND(SUM(E$1:E1),2)", "rc": "=COUNT(E$1:E1)", "rx": "=MAX(E$1:E1)"}, ["event_id"], "select event_id, floor(sum(value) over w*100+0.5)/100 as rs, (count(value) over w)::double as rc, max(value) over w as rx from events window w as (order by event_id rows unbounded preceding)", anchor=1)
 rows("moving_frame", "events", {"ms": "=MAX(E1:E4)", "mn": "=MIN(E1:E2)"}, ["event_id"], "select event_id, max(value) over (order by event_id rows between current row and 3 following) as ms, min(value) over (order by event_id rows between current row and 1 following) as mn from events", anchor=1)
-del QUERIES["moving_average"]
 
 # -- array formulas -------------------------------------------------------------------------
 
