@@ -168,83 +168,82 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return measured(pairs, texts, width).where(alike(percent)).select("a", "b").distinct()
 
 
-def against_pivot(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(bunch, rep, pivot, na, nb, common, own): each member's set beside its bunch's pivot.
-
-    own holds the shingles that the pivot lacks.
-    """
+def member_shingles(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(bunch, rep, s): a row for each shingle of each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, last, held = zstandard.ZstdDecompressor().decompress, None, None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sizes, own = np.zeros((batch.num_rows, 3), dtype=np.int64), []
-            for i, (one, two) in enumerate(zip(batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True)):
-                if last != two:
-                    last, held = two, shingles(unpack(two), width)
-                mine = shingles(unpack(one), width)
-                rest = np.setdiff1d(mine, held, assume_unique=True)
-                sizes[i] = len(mine), len(held), len(mine) - len(rest)
-                own.append(rest.view(np.int64))
-            lists = pa.array(own, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("bunch"), batch.column("rep"), batch.column("pivot"), *(pa.array(c) for c in sizes.T), lists], ["bunch", "rep", "pivot", "na", "nb", "common", "own"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingles(unpack(p), width).view(np.int64) for p in part.column("packed").to_pylist()]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([part.column("bunch").take(rows), part.column("rep").take(rows), pa.array(np.concatenate(sets))], ["bunch", "rep", "s"])
 
-    one = members.join(texts.select("rep", F.col("packed").alias("packed_a")), "rep")
-    both = one.join(texts.select(F.col("rep").alias("pivot"), F.col("packed").alias("packed_b")), "pivot")
-    return both.select("bunch", "rep", "pivot", "packed_a", "packed_b").mapInArrow(run, "bunch long, rep long, pivot long, na long, nb long, common long, own array<long>")
+    return members.join(texts, "rep").select("bunch", "rep", "packed").mapInArrow(run, "bunch long, rep long, s long")
 
 
 def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
     """All links among classes that share an open key, without comparing each pair.
 
     open_: (key, rep, label, lead) of keys that still join several components. Classes whose sets
-    overlap by half with their key's leader form bunches; a bunch's pivot is the member with most open
-    keys. With C the pivot's set, any two members have
+    overlap by half with their key's leader form bunches. With C the shingles that more than half of
+    a bunch's members have, any two members have
 
         |x & y| <= min(|x & C|, |y & C|) + |x & y - C|
 
-    so a pair that reaches the threshold either needs no shingle beyond the pivot's, which members
-    that are not linked with the pivot rarely allow, or shares shingles that the pivot lacks. The
-    first sort is found by sizes. The second shares one of the rarest of those shingles, as many of
-    them as the needed overlap leaves (a prefix filter), and is found by joining on them; shingles
-    that most members have come last and so hardly join. Pairs across bunches, met by chance, are
-    compared directly.
+    so a pair that reaches the threshold either needs no shingle outside C, which is found by sizes,
+    or shares shingles outside C. Such a pair shares one of the rarest of them, as many as the needed
+    overlap leaves (a prefix filter), and is found by joining on those. Members near to C are first
+    compared with the one nearest to it, which links most of them. Of two members in different
+    components one at least is away from that one's component, so only those that are away look for
+    partners. Pairs across bunches, met by chance, are compared directly.
     """
     tallies = open_.where(F.col("rep") != F.col("lead.rep")).groupBy("rep", F.col("lead.rep").alias("led")).agg(F.count(F.lit(1)).alias("n"))
     nearest = tallies.groupBy(F.col("rep").alias("a")).agg(F.max_by("led", F.struct("n", "led")).alias("b"))
     near = stored(measured(nearest, texts, width), "near-open")
     bunches = components(near.where(2 * F.col("common") >= F.least("na", "nb")).select("a", "b")).withColumnsRenamed({"node": "rep", "label": "bunch"})
-    degree = open_.groupBy("rep", "label").agg(F.count(F.lit(1)).alias("n")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
-    pivots = degree.groupBy("bunch").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = degree.select("bunch", "rep", "label").join(pivots.select("bunch", "pivot"), "bunch")
-    beside = stored(against_pivot(members, texts, width), "near-open")
-    edges = edges.unionByName(near.where(alike(percent)).select("a", "b")).unionByName(beside.where(alike(percent)).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+    edges = edges.unionByName(near.where(alike(percent)).select("a", "b"))
+    labels = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
+    named = open_.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
+    named = stored(named, "near-open")
+    members = named.groupBy("bunch", "rep").agg(F.first("label").alias("label"))
+    counts = members.groupBy("bunch", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("bunch").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    members = stored(members.join(sizes, "bunch").select("bunch", "rep", "size"), "near-open", narrow=True)
+
+    sets = stored(member_shingles(members, texts, width), "near-sets")
+    frequency = sets.groupBy("bunch", "s").agg(F.count(F.lit(1)).alias("df"))
+    counted = sets.join(frequency, ["bunch", "s"]).join(members, ["bunch", "rep"])
+    shared = 2 * F.col("df") > F.col("size")
+    outside = F.sort_array(F.collect_list(F.when(~shared, F.struct("df", "s"))))
+    found = counted.groupBy("bunch", "rep").agg(F.count(F.lit(1)).alias("n"), F.count_if(shared).alias("c"), outside.alias("own"))
+    found = stored(found, "near-open")
+
+    # the member nearest to C is likely to link with all that are near to C
+    heart = found.groupBy("bunch").agg(F.min_by("rep", F.struct(F.col("n") - 2 * F.col("c"), "rep")).alias("heart"), F.min("n").alias("floor"))
+    found = found.join(heart, "bunch")
+    rim = (100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("floor"))
+    edges = edges.unionByName(stored(verified(found.where(rim & (F.col("rep") != F.col("heart"))).select(F.col("rep").alias("a"), F.col("heart").alias("b")), texts, width, percent), "near-links"))
     labels = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
-    home = pivots.select("bunch", F.col("pivot").alias("rep")).join(labels, "rep", "left").select("bunch", F.coalesce("label", "rep").alias("home"))
-    named = beside.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    least = beside.groupBy("bunch").agg(F.min("na").alias("floor"))
-    now = named.join(home, "bunch").join(least, "bunch").select("bunch", "rep", "label", F.col("na").alias("n"), F.col("common").alias("c"), "own", "floor", (F.col("label") != F.col("home")).alias("away"))
-    now = stored(now, "near-open")
+    home = found.select("bunch", F.col("heart").alias("rep")).distinct().join(labels, "rep", "left").select("bunch", F.coalesce("label", "rep").alias("home"))
+    now = found.join(labels, "rep", "left").join(home, "bunch").withColumn("label", F.coalesce("label", "rep"))
+    now = stored(now.select("bunch", "rep", "label", "n", "c", "own", "floor", (F.col("label") != F.col("home")).alias("away")), "near-open")
 
     def side(df: DataFrame, name: str, *more: str) -> DataFrame:
         return df.select("bunch", *more, *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "label", "n", "c")])
 
-    # of two members in different components one at least is not in the pivot's
     cross = F.col("label_a") != F.col("label_b")
     enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    wide = now.where((100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("floor")))
+    wide = now.where(rim)
     by_size = side(wide.where("away"), "a").join(side(wide, "b"), "bunch").where(cross & enough)
-    # the least number of shingles beyond the pivot's that any link of a member needs, and so how
-    # many of its own, the rarest first, must hold one that the other's have too
+    # the least number of shingles outside C that any link of a member needs, and so how many of its
+    # own, the rarest first, must hold one that the partner's have too
     beyond = F.ceil(percent * (F.col("n") + F.greatest(F.col("n") * percent / 100, F.col("floor"))) / (100 + percent) - 1e-9) - F.col("c")
-    length = F.size("own") - F.greatest(beyond, F.lit(1)) + 1
-    exploded = now.where(length > 0).select("bunch", "rep", "label", "n", "c", "away", length.cast("int").alias("length"), F.explode("own").alias("s"))
-    rarity = exploded.groupBy("bunch", "s").agg(F.count(F.lit(1)).alias("df"), F.max("away").alias("away")).where("df > 1 and away").select("bunch", "s", "df")
-    counted = exploded.drop("away").join(rarity, ["bunch", "s"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ordered = counted.groupBy("bunch", "rep", "label", "n", "c", "length").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    prefix = ordered.select("bunch", "rep", "label", "n", "c", F.explode(F.slice("all", F.lit(1), F.col("length"))).alias("p")).select("bunch", "rep", "label", "n", "c", F.col("p.df").alias("df"), F.col("p.s").alias("s")).where("df > 1")
-    prefix = stored(prefix.join(now.select("bunch", "rep", "away"), ["bunch", "rep"]), "near-open")
+    length = (F.size("own") - F.greatest(beyond, F.lit(1)) + 1).cast("int")
+    prefix = now.where(length > 0).select("bunch", "rep", "label", "n", "c", "away", F.explode(F.slice("own", F.lit(1), length)).alias("p"))
+    prefix = stored(prefix.where("p.df > 1").select("bunch", "rep", "label", "n", "c", "away", F.col("p.s").alias("s")), "near-open")
     by_own = side(prefix.where("away"), "a", "s").join(side(prefix, "b", "s"), ["bunch", "s"]).where(cross & ~enough)
-    named = open_.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
     left, right = (named.select("key", F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}"), F.col("bunch").alias(f"bunch_{x}")) for x in "ab")
     apart = left.join(right, "key").where(cross & (F.col("bunch_a") != F.col("bunch_b")) & (F.col("rep_a") > F.col("rep_b")))
     pairs = by_size.select("rep_a", "rep_b").unionByName(by_own.select("rep_a", "rep_b")).unionByName(apart.select("rep_a", "rep_b"))
