@@ -29,9 +29,9 @@ from .common import bounded_batches
 
 NONE = np.int32(2**31 - 1)
 #: Texts gathered before their unseen pre-tokens are merged together, in bytes.
-GATHER_BYTES = 16 << 20
+GATHER_BYTES = 8 << 20
 #: Pre-tokens remembered in a worker; beyond that memory starts afresh.
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 def load_ranks(blob: bytes) -> dict[bytes, int]:
