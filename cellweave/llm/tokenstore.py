@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import gathered
 from .common import bounded_batches, partitions, shared_path
 
 MAGIC = b"EFT1"
 SAMPLE = 256
 #: Ids in a shard before a new one begins; a longer document has a shard of its own.
 SHARD_IDS = 1 << 19
+#: Texts gathered before their new chunks are encoded together, in bytes.
+GATHER_BYTES = 4 << 20
 #: Chunks remembered by a worker's encoder; beyond that memory starts afresh.
 MEMORY = 900_000
 
@@ -206,7 +209,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(blob.value)
-        for batch in batches:
+        for batch in gathered(batches, GATHER_BYTES):
             ids, wide = [], []
             for tokens in enc.encode([t or "" for t in batch.column("text").to_pylist()]):
                 wide.append(bool(len(tokens) and tokens.max() >> 16 or end_id >> 16))
@@ -254,7 +257,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
 
     path = path or shared_path(spark, "tokens")
     dealt = encoded(docs, tokenizer, end_id).withColumn("part", part).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "ids")
-    dealt.mapInArrow(shards, f"part int, seq int, n_ids long, doc_ids array<{kind}>, blob binary").write.parquet(path)
+    dealt.mapInArrow(shards, f"part int, seq int, n_ids long, doc_ids array<{kind}>, blob binary").write.option("compression", "none").parquet(path)  # ids hardly compress
     return path
 
 
@@ -265,11 +268,12 @@ def shard_starts(store: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+
+    A task holds the shards of one input split, so spark.sql.files.maxPartitionBytes bounds it.
+    """
     store = spark.read.parquet(path)
     kind = store.schema["doc_ids"].dataType.elementType.simpleString()
-    bounded_batches(spark, 64)  # of shards
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
