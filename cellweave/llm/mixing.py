@@ -55,11 +55,13 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
     """
     steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
     first = F.exp(-rate)
-    start = F.struct(first.alias("p"), first.alias("cdf"), F.lit(0).alias("k"))
+    # rate and u go along in the state, so that they are not worked out again in each step
+    start = F.struct(first.alias("p"), first.alias("cdf"), F.lit(0).alias("k"), rate.alias("rate"), u.alias("u"))
 
     def step(acc: Column, i: Column) -> Column:
-        p = acc["p"] * rate / i
-        return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["k"] + F.when(acc["cdf"] <= u, 1).otherwise(0)).alias("k"))
+        p = acc["p"] * acc["rate"] / i
+        k = acc["k"] + F.when(acc["cdf"] <= acc["u"], 1).otherwise(0)
+        return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), k.alias("k"), acc["rate"].alias("rate"), acc["u"].alias("u"))
 
     return F.aggregate(steps, start, step)["k"]
 
