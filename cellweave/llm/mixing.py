@@ -18,8 +18,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, stored
 
+#: Rows of source rates that are broadcast (about 10 MB).
+MAX_BROADCAST = 100_000
 #: Largest mean repetition rate that is inverted; higher targets are an input error.
 MAX_RATE = 500.0
 
@@ -69,10 +71,12 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.7, target: float | None = None, by: str = "documents", seed: int = 17) -> DataFrame:
     """docs with __copies (of the document) and __copy (from 1), shuffled globally.
 
-    The join side has a row a source; Spark broadcasts it when it is small, and otherwise its
-    skew handling splits a hot source.
+    The join side has a row a source. Its rows are counted: up to MAX_BROADCAST go to every task, so
+    that no document moves for its rate; with more sources a join deals them out, and Spark splits
+    the hot ones.
     """
-    rates = source_rates(docs, weights, temperature, target, by)
+    rates = stored(source_rates(docs, weights, temperature, target, by), "source-rates", narrow=True)
+    rates = F.broadcast(rates) if rates.count() <= MAX_BROADCAST else rates
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")), "inner")
     drawn = drawn.withColumn("__copies", poisson_inverse(F.col("__rate"), uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))))
     copies = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))

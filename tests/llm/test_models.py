@@ -112,6 +112,12 @@ def test_mixing_reaches_weights(spark):
         assert abs(got[source] - share) < 5 * math.sqrt(share)
 
 
+def test_mixing_joins_many_sources(docs, monkeypatch):
+    want = sorted(r.doc_id for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == want
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty).collect() == []
 
