@@ -348,6 +348,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if len(enc.index) > MEMORY // 2:  # idle workers do not sit on what other stages need
+            enc.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

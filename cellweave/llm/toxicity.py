@@ -37,7 +37,7 @@ SIZES = (4, 5)
 #: Bound of the learning sample, rows a class.
 MAX_ROWS = 2000
 #: Features that the regression sees.
-MAX_FEATURES = 4096
+MAX_FEATURES = 2048
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint32)
 
 
@@ -127,7 +127,7 @@ def fit(rows: list[tuple[int, np.ndarray]], prior: float, max_features: int = MA
         place = np.full(1 << BITS, -1, dtype=np.int32)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
         kept = [place[ids][place[ids] >= 0] for _, ids in rows]
-        index, owner = np.concatenate(kept), np.repeat(np.arange(len(rows)), [len(k) for k in kept])
+        index, owner = np.concatenate(kept), np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
         scale = ratio[chosen]
     else:
         index, owner, scale = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0)
