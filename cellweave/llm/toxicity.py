@@ -37,7 +37,9 @@ SIZES = (4, 5)
 #: Bound of the learning sample, rows a class.
 MAX_ROWS = 2000
 #: Features that the regression sees.
-MAX_FEATURES = 2048
+MAX_FEATURES = 4096
+#: Present features that a step of the regression looks at together.
+FIT_BLOCK = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint32)
 
 
@@ -106,6 +108,18 @@ class Model:
         return np.bincount(pairs >> BITS, weights=self.weights[pairs & ((1 << BITS) - 1)], minlength=len(texts))
 
 
+def _blocks(rows: list[tuple[int, np.ndarray]], place: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, index, owner) of runs of rows: the chosen features present and their row in the run."""
+    held, size, first = [], 0, 0
+    for i, (_, ids) in enumerate(rows):
+        own = place[ids]
+        held.append(own[own >= 0])
+        size += len(held[-1])
+        if size >= FIT_BLOCK or i == len(rows) - 1:
+            yield first, i + 1, np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(k) for k in held])
+            held, size, first = [], 0, i + 1
+
+
 def fit(rows: list[tuple[int, np.ndarray]], prior: float, max_features: int = MAX_FEATURES, penalty: float = 1.0, steps: int = 300) -> Model:
     """Logistic regression on ratio-scaled features; rows: (label, sorted features)."""
     weights = np.zeros(1 << BITS, dtype=np.float32)
@@ -123,20 +137,19 @@ def fit(rows: list[tuple[int, np.ndarray]], prior: float, max_features: int = MA
     strength = np.where(support, np.abs(ratio) / spread, 0)
     chosen = np.argsort(-strength, kind="stable")[:max_features]
     chosen = np.sort(chosen[strength[chosen] > 3.0])
-    if len(chosen):
-        place = np.full(1 << BITS, -1, dtype=np.int32)
-        place[chosen] = np.arange(len(chosen), dtype=np.int32)
-        kept = [place[ids][place[ids] >= 0] for _, ids in rows]
-        index, owner = np.concatenate(kept), np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
-        scale = ratio[chosen]
-    else:
-        index, owner, scale = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    scale, blocks = ratio[chosen], list(_blocks(rows, place))
     w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
     mean_w, var_w, mean_b, var_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):  # Adam over the whole sample
-        z = b + np.bincount(owner, weights=(w * scale)[index], minlength=len(rows))
+        z, value, raw = np.full(len(rows), b), w * scale, np.zeros(len(chosen))
+        for first, last, index, owner in blocks:
+            z[first:last] += np.bincount(owner, weights=value[index], minlength=last - first)
         gap = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) / len(rows)
-        gw = np.bincount(index, weights=gap[owner], minlength=len(chosen)) * scale + penalty * w / len(rows)
+        for first, last, index, owner in blocks:
+            raw += np.bincount(index, weights=gap[first:last][owner], minlength=len(chosen))
+        gw = raw * scale + penalty * w / len(rows)
         gb = gap.sum()
         mean_w, var_w = 0.9 * mean_w + 0.1 * gw, 0.99 * var_w + 0.01 * gw * gw
         mean_b, var_b = 0.9 * mean_b + 0.1 * gb, 0.99 * var_b + 0.01 * gb * gb

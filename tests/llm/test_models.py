@@ -72,6 +72,24 @@ def test_toxicity_odd_documents(spark, docs, labelled):
     assert scores[0] == scores[1] and scores[3] == scores[4]
 
 
+def test_toxicity_keeps_more_than_2048_strong_features():
+    """Three thousand equally strong features: a text whose toxic wording is the last of them counts."""
+    shared = np.arange(3000, dtype=np.uint32)
+    rows = [(y, np.unique(np.concatenate([shared if y else shared + 5000, [20_000 + i]])).astype(np.uint32)) for i, y in enumerate([0, 1] * 200)]
+    model = toxicity.fit(rows, 0.5)
+    assert np.count_nonzero(model.weights[:3000]) + np.count_nonzero(model.weights[5000:8000]) == 4096
+    assert np.count_nonzero(toxicity.fit(rows, 0.5, max_features=6000).weights) == 6000
+
+
+def test_toxicity_fit_is_the_same_in_any_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(y, np.flatnonzero(rng.random(2000) < (0.1 + 0.3 * y * (np.arange(2000) < 900))).astype(np.uint32)) for y in [0, 1] * 100]
+    whole = toxicity.fit(rows, 0.5)
+    monkeypatch.setattr(toxicity, "FIT_BLOCK", 500)
+    parts = toxicity.fit(rows, 0.5)
+    assert parts.bias == pytest.approx(whole.bias, abs=1e-9) and np.allclose(parts.weights, whole.weights, atol=1e-6) and whole.weights.any()
+
+
 # -- mixing
 
 
