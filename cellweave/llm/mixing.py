@@ -13,6 +13,7 @@ through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,8 @@ from .common import partitions, stored
 
 #: Rows of source rates that are broadcast (about 10 MB).
 MAX_BROADCAST = 100_000
-#: Largest mean repetition rate that is inverted; higher targets are an input error.
-MAX_RATE = 500.0
+#: Up to this rate the running sum begins at no copies; beyond it, below all that counts in double precision.
+FROM_ZERO = 500.0
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.7, target: float | None = None, by: str = "documents") -> DataFrame:
@@ -40,7 +41,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     total = sums.agg(F.sum("__raw").alias("__raws"), F.sum("__size").alias("__sizes"))  # one row
     wanted = F.lit(float(target)) if target is not None else F.col("__sizes")
     rate = F.when((F.col("__size") > 0) & (F.col("__raws") > 0), F.col("__raw") / F.col("__raws") * wanted / F.col("__size")).otherwise(F.lit(1.0))
-    return sums.crossJoin(F.broadcast(total)).select("__source", F.least(rate, F.lit(MAX_RATE)).alias("__rate"))
+    return sums.crossJoin(F.broadcast(total)).select("__source", rate.alias("__rate"))
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -53,12 +54,17 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
     """The smallest k with P(Poisson(rate) <= k) > u, by running sums of the probabilities.
 
     The sequence reaches beyond rate + 12 standard deviations, where the running sum has stopped
-    growing in double precision.
+    growing in double precision. exp(-rate) vanishes for large rates, so beyond FROM_ZERO the sum begins
+    12 standard deviations below the rate, at a probability worked out by its logarithm (Stirling's
+    series); what lies below is less than 1e-30.
     """
-    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
-    first = F.exp(-rate)
+    large = rate > F.lit(FROM_ZERO)
+    low = F.when(large, F.floor(rate - 12 * F.sqrt(rate))).otherwise(F.lit(0)).cast("int")
+    steps = F.sequence(low + 1, F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int"))
+    gap = rate - low
+    first = F.exp(F.when(large, low * F.log1p(gap / low) - gap - F.log(2 * math.pi * low) / 2 - 1 / (12 * low) + 1 / (360 * F.pow(low, F.lit(3.0)))).otherwise(-rate))
     # rate and u go along in the state, so that they are not worked out again in each step
-    start = F.struct(first.alias("p"), first.alias("cdf"), F.lit(0).alias("k"), rate.alias("rate"), u.alias("u"))
+    start = F.struct(first.alias("p"), first.alias("cdf"), low.alias("k"), rate.alias("rate"), u.alias("u"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * acc["rate"] / i

@@ -130,6 +130,26 @@ def test_mixing_reaches_weights(spark):
         assert abs(got[source] - share) < 5 * math.sqrt(share)
 
 
+def test_mixing_inverts_rates_beyond_500(spark):
+    def exact(rate, u):  # by logarithms of all probabilities from 0
+        k, cdf = -1, 0.0
+        while cdf <= u:
+            k += 1
+            cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        return k
+
+    rows = [(r, u) for r in (500.5, 800.0, 5000.0, 40_000.0) for u in (0.001, 0.1, 0.36, 0.5, 0.9, 0.999)]
+    got = spark.createDataFrame(rows, "r double, u double").select("r", "u", mixing.poisson_inverse(F.col("r"), F.col("u")).alias("k")).collect()
+    assert [x.k for x in got] == [exact(x.r, x.u) for x in got]
+
+
+def test_mixing_reaches_weights_of_a_small_source(spark):
+    df = spark.range(1100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 20, "small").otherwise("large").alias("source"))
+    got = {r["source"]: r["n"] for r in mixing.mix(df, {"small": 0.9, "large": 0.1}, target=50_000).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for source, share in {"small": 45_000, "large": 5_000}.items():
+        assert abs(got[source] - share) < 5 * math.sqrt(share)
+
+
 def test_mixing_joins_many_sources(docs, monkeypatch):
     want = sorted(r.doc_id for r in mixing.mix(docs).collect())
     monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
