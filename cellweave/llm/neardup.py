@@ -49,6 +49,10 @@ def shingles(raw: bytes, width: int) -> np.ndarray:
     return np.unique(window_hashes(words, min(width, len(words)))) if len(words) else np.empty(0, dtype=np.uint64)
 
 
+def text_hash(raw: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+
+
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return base[:n, None], base[n:, None] | np.uint64(1)
@@ -72,21 +76,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def described(docs: DataFrame, width: int, tables: int, rows: int) -> DataFrame:
-    """(doc_id, n, c1, c2, bands): set size, 128-bit hash of the set and its band hashes."""
+    """(doc_id, n, c1, c2, t, bands): set size, 128-bit hash of the set, hash of the text and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sums, sketches = [], [], []
+            sizes, sums, whole, sketches = [], [], [], []
             for raw in raw_texts(batch):
                 own = shingles(raw, width)
                 sizes.append(len(own))
                 sums.append(xxhash.xxh3_128_digest(own.tobytes()))
+                whole.append(text_hash(raw))
                 sketches.append(bands(own, tables, rows).tobytes() if len(own) else None)
             keys = np.frombuffer(b"".join(sums), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sketches, pa.binary())], ["doc_id", "n", "c1", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(whole, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "n", "c1", "c2", "t", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, bands binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, t long, bands binary")
 
 
 def table_keys(classes: DataFrame, tables: int) -> DataFrame:
@@ -169,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def member_shingles(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(bunch, rep, s): a row for each shingle of each member."""
+    """(bunch, rep, t, s): a row for each shingle of each class of each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -178,15 +183,16 @@ def member_shingles(members: DataFrame, texts: DataFrame, width: int) -> DataFra
                 part = batch.slice(at, 64)
                 sets = [shingles(unpack(p), width).view(np.int64) for p in part.column("packed").to_pylist()]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([part.column("bunch").take(rows), part.column("rep").take(rows), pa.array(np.concatenate(sets))], ["bunch", "rep", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("bunch").take(rows), part.column("rep").take(rows), part.column("t").take(rows), pa.array(np.concatenate(sets))], ["bunch", "rep", "t", "s"])
 
-    return members.join(texts, "rep").select("bunch", "rep", "packed").mapInArrow(run, "bunch long, rep long, s long")
+    return members.join(texts, "rep").select("bunch", "rep", "t", "packed").mapInArrow(run, "bunch long, rep long, t long, s long")
 
 
 def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
     """All links among classes that share an open key, without comparing each pair.
 
-    open_: (key, rep, label, lead) of keys that still join several components. Classes whose sets
+    open_: (key, rep, label, lead) of keys that still join several components. texts has a row a class; an
+    id that is the smallest of several classes has each of its sets looked at for itself. Classes whose sets
     overlap by half with their key's leader form bunches. With C the shingles that more than half of
     a bunch's members have, any two members have
 
@@ -217,7 +223,7 @@ def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, pe
     counted = sets.join(frequency, ["bunch", "s"]).join(members, ["bunch", "rep"])
     shared = 2 * F.col("df") > F.col("size")
     outside = F.sort_array(F.collect_list(F.when(~shared, F.struct("df", "s"))))
-    found = counted.groupBy("bunch", "rep").agg(F.count(F.lit(1)).alias("n"), F.count_if(shared).alias("c"), outside.alias("own"))
+    found = counted.groupBy("bunch", "rep", "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(shared).alias("c"), outside.alias("own"))
     found = stored(found, "near-open")
 
     # the member nearest to C is likely to link with all that are near to C
@@ -251,16 +257,17 @@ def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, pe
     return edges.unionByName(verified(pairs, texts, width, percent))
 
 
-def packed_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, packed): compressed texts of the classes that meet another in some table."""
+def packed_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, t, packed): one compressed text a class, whatever rows repeat its id. classes: (rep, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([pack(raw) for raw in raw_texts(batch)], pa.binary())], ["rep", "packed"])
+            raws = raw_texts(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_hash(raw) for raw in raws], pa.int64()), pa.array([pack(raw) for raw in raws], pa.binary())], ["rep", "t", "packed"])
 
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rep long, packed binary")
-    return small.join(reps, "rep", "left_semi")
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "rep long, t long, packed binary")
+    return small.join(classes, ["rep", "t"], "left_semi").groupBy("rep", "t").agg(F.first("packed").alias("packed"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, tables: int, rounds: int = ROUNDS) -> DataFrame:
@@ -279,7 +286,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
         if open_.isEmpty():
             break
         if texts is None:
-            texts = stored(packed_texts(docs, open_.select("rep").distinct()), "near-texts")
+            texts = stored(packed_texts(docs, classes.select("rep", "t").join(open_.select("rep").distinct(), "rep", "left_semi")), "near-texts")
         if turn < rounds:
             meets = open_.where(F.col("label") != F.col("lead.label")).groupBy("rep", F.col("lead.rep").alias("led")).agg(F.count(F.lit(1)).alias("n"))
             pairs = meets.groupBy(F.col("rep").alias("a")).agg(F.max_by("led", F.struct("n", -F.col("led"))).alias("b"))
@@ -295,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     bounded_batches(docs.sparkSession)
     base = stored(described(docs, width, tables, rows), "near-documents")
-    classes = base.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("bands").alias("bands"))
+    classes = base.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("bands").alias("bands"), F.min_by("t", "doc_id").alias("t"))
     classes = stored(classes, "near-classes")
     labels = link_classes(docs, classes, width, percent, tables)
     named = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component_id"))

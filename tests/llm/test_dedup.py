@@ -70,6 +70,17 @@ def test_near_large_group_with_heavier_and_lighter_edits(spark):
     assert near(df) == slow_components(texts)
 
 
+def test_near_repeated_rows_count_once_a_class(spark):
+    """Rows that repeat an id give one text and one set of shingles a class; other texts of the id stay apart."""
+    rows = [(1, "a b c d")] * 3 + [(1, "p q r"), (2, "a b c e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = neardup.described(docs, 2, 14, 3).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"))
+    texts = neardup.packed_texts(docs, classes.select("rep", "t"))
+    members = spark.createDataFrame([(1, 1), (1, 2)], "bunch long, rep long")
+    sets = neardup.member_shingles(members, texts, 2).groupBy("rep", "t").agg(F.count("s").alias("n"), F.countDistinct("s").alias("d")).collect()
+    assert sorted((r.rep, r.n, r.d) for r in sets) == [(1, 2, 2), (1, 3, 3), (2, 3, 3)]
+
+
 def test_near_empty_null_and_repeated_rows(spark, empty):
     assert near(empty) == {}
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "")]
