@@ -15,8 +15,8 @@ The work, in order:
    link, to the leader it meets most among those of other components. Proposals are verified on the
    full sets and the components updated; keys whose classes are all in one component are done. So a
    group of copies costs a link a member and not a pair of members.
-4. For keys that still join several components the remaining links are found by bounds against a
-   pivot and verified (see ``settled``); no pair is left out for the size of its group.
+4. For keys that still join several components the remaining links are found by the edits of each
+   set against a core, and verified (see ``settled``); no pair is left out for the size of its group.
 
 Links follow 100 * intersection >= 100 * threshold * union on full 64-bit shingle sets.
 
@@ -28,6 +28,7 @@ components; extra columns play no part; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,10 @@ from .common import bounded_batches, mix64, raw_texts, stored, window_hashes, wo
 
 TABLES, ROWS = 14, 3
 ROUNDS = 3
+#: Classes of partners in ``settled`` have lacks within this part of their size.
+STEPS = 36
+#: Keys that the rows of a bunch are dealt out over.
+SPREAD = 16
 
 
 def shingles(raw: bytes, width: int) -> np.ndarray:
@@ -173,8 +178,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return measured(pairs, texts, width).where(alike(percent)).select("a", "b").distinct()
 
 
-def member_shingles(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(bunch, rep, t, s): a row for each shingle of each class of each member."""
+def by_bunch(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the facts of their bunch (one row a bunch); a bunch's rows are dealt out over SPREAD keys."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int")).join(salted, ["bunch", "salt"], how).drop("salt")
+
+
+def member_shingles(members: DataFrame, width: int) -> DataFrame:
+    """(bunch, size, s): a row for each shingle of each set of each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -183,77 +194,130 @@ def member_shingles(members: DataFrame, texts: DataFrame, width: int) -> DataFra
                 part = batch.slice(at, 64)
                 sets = [shingles(unpack(p), width).view(np.int64) for p in part.column("packed").to_pylist()]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in sets]))
-                yield pa.RecordBatch.from_arrays([part.column("bunch").take(rows), part.column("rep").take(rows), part.column("t").take(rows), pa.array(np.concatenate(sets))], ["bunch", "rep", "t", "s"])
+                yield pa.RecordBatch.from_arrays([part.column("bunch").take(rows), part.column("size").take(rows), pa.array(np.concatenate(sets))], ["bunch", "size", "s"])
+
+    return members.select("bunch", "size", "packed").mapInArrow(run, "bunch long, size long, s long")
+
+
+def member_edits(members: DataFrame, width: int) -> DataFrame:
+    """(bunch, rep, t, n, edits): set size and symmetric difference with the core of the bunch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sizes, edits = [], []
+                for packed, core in zip(part.column("packed").to_pylist(), part.column("core"), strict=True):
+                    own = shingles(unpack(packed), width).view(np.int64)
+                    sizes.append(len(own))
+                    edits.append(np.setxor1d(own, core.values.to_numpy() if core.is_valid else own[:0], assume_unique=True))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bunch", "rep", "t")), pa.array(sizes, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], ["bunch", "rep", "t", "n", "edits"])
+
+    return members.select("bunch", "rep", "t", "packed", "core").mapInArrow(run, "bunch long, rep long, t long, n long, edits array<long>")
+
+
+def class_hashes(bunch: int, bands: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    return mix64(mix64(mix64(np.full(len(bands), bunch).view(np.uint64)) + bands.view(np.uint64)) + steps.view(np.uint64))
+
 
-    return members.join(texts, "rep").select("bunch", "rep", "t", "packed").mapInArrow(run, "bunch long, rep long, t long, s long")
+def prefix_keys(members: DataFrame, whole: int) -> DataFrame:
+    """(m, looks, rep, label): under m stand a pair of classes and one of the rarest edits that a member
+    must share with a partner of the other class. Members that are away look for partners."""
+    fields = ("band", "step", "low", "top", "away")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            found: list[tuple[np.ndarray, bool, int, int]] = []
+            size = 0
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bunch", "rep", "label", "lack", "band", "step", "away")), batch.column("own"), batch.column("classes"), strict=True)
+            for bunch, rep, label, lack, band, step, away, own, classes in rows:
+                if bunch not in tables:
+                    if len(tables) > 1000:
+                        tables.clear()
+                    table = np.array([[c[k] for k in fields] for c in classes.as_py()], dtype=np.int64).T
+                    tables[bunch] = (*table, class_hashes(bunch, np.ascontiguousarray(table[0]), np.ascontiguousarray(table[1])))
+                bands, steps, low, top, some_away, hashes = tables[bunch]
+                own = own.values.to_numpy().view(np.uint64)
+                need = np.maximum(1, -((-lack - low) // (2 * whole)))
+                fits = (need <= np.minimum(len(own), top)) & (np.abs(bands - band) <= 1)
+                here = hashes[(bands == band) & (steps == step)]
+                for looks in (True, False) if away else (False,):
+                    at = np.flatnonzero(fits if looks else fits & (some_away == 1))
+                    if len(at):
+                        lengths = len(own) - need[at] + 1
+                        pair = here * np.uint64(3) + hashes[at] if looks else hashes[at] * np.uint64(3) + here
+                        place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                        found.append((mix64(own[place] ^ np.repeat(mix64(pair), lengths)), looks, rep, label))
+                        size += len(place)
+                if size > 200_000:
+                    yield batch_of(found)
+                    found, size = [], 0
+            if found:
+                yield batch_of(found)
+
+    def batch_of(found: list[tuple[np.ndarray, bool, int, int]]) -> pa.RecordBatch:
+        keys, *others = zip(*found, strict=True)
+        lengths = [len(k) for k in keys]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.repeat(np.array(c), lengths)) for c in others)], ["m", "looks", "rep", "label"])
+
+    return members.select("bunch", "rep", "label", "lack", "band", "step", "away", "own", "classes").mapInArrow(run, "m long, looks boolean, rep long, label long")
 
 
 def settled(open_: DataFrame, texts: DataFrame, edges: DataFrame, width: int, percent: int) -> DataFrame:
     """All links among classes that share an open key, without comparing each pair.
 
     open_: (key, rep, label, lead) of keys that still join several components. texts has a row a class; an
-    id that is the smallest of several classes has each of its sets looked at for itself. Classes whose sets
-    overlap by half with their key's leader form bunches. With C the shingles that more than half of
-    a bunch's members have, any two members have
-
-        |x & y| <= min(|x & C|, |y & C|) + |x & y - C|
-
-    so a pair that reaches the threshold either needs no shingle outside C, which is found by sizes,
-    or shares shingles outside C. Such a pair shares one of the rarest of them, as many as the needed
-    overlap leaves (a prefix filter), and is found by joining on those. Members near to C are first
-    compared with the one nearest to it, which links most of them. Of two members in different
-    components one at least is away from that one's component, so only those that are away look for
-    partners. Pairs across bunches, met by chance, are compared directly.
+    id that is the smallest of several classes has each of its sets looked at for itself. Classes that are
+    joined by open keys form bunches, so every pair in question is inside one. With the core C of a bunch,
+    the shingles that more than half of its sets have, the edits of a set are its symmetric difference
+    with C, and x and y differ by |X| + |Y| - 2 |X & Y| shingles, X and Y being their edits. They are
+    linked if that is at most r (n_x + n_y) with r = (100 - percent) / (100 + percent). So with the
+    lack of a set, |X| - r n_x, they are linked without any edit in common if their lacks sum to 0 or
+    less, and otherwise need as many edits in common as half of that sum.
+
+    The first kind is found by the set that lacks least, the heart of the bunch: whoever is so linked with
+    anyone is so linked with the heart. For the second kind a pair must share one of the rarest edits
+    of both, counting as many as the edits needed leave over (a prefix filter on edits); what is
+    needed depends on both lacks, so sets are classed by size and lack, and the prefix is cut for
+    each class of partners. Of two members in different components one at least is away from the
+    heart's, so only those that are away look for partners. Candidates are verified.
     """
-    tallies = open_.where(F.col("rep") != F.col("lead.rep")).groupBy("rep", F.col("lead.rep").alias("led")).agg(F.count(F.lit(1)).alias("n"))
-    nearest = tallies.groupBy(F.col("rep").alias("a")).agg(F.max_by("led", F.struct("n", "led")).alias("b"))
-    near = stored(measured(nearest, texts, width), "near-open")
-    bunches = components(near.where(2 * F.col("common") >= F.least("na", "nb")).select("a", "b")).withColumnsRenamed({"node": "rep", "label": "bunch"})
-    edges = edges.unionByName(near.where(alike(percent)).select("a", "b"))
+    bunches = components(open_.where(F.col("rep") != F.col("lead.rep")).select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"))).withColumnsRenamed({"node": "rep", "label": "bunch"})
+    members = stored(bunches.join(texts.select("rep", "t"), "rep"), "near-open", narrow=True)
+    sizes = members.groupBy("bunch").agg(F.count(F.lit(1)).alias("size"))
+    packed = stored(by_bunch(members, sizes).join(texts, ["rep", "t"]), "near-open")
+    whole, part = 100 + percent, 100 - percent
+    core = member_shingles(packed, width).groupBy("bunch", "size", "s").agg(F.count(F.lit(1)).alias("df")).where("2 * df > size")
+    core = stored(core.groupBy("bunch").agg(F.sort_array(F.collect_list("s")).alias("core")), "near-open")
+    found = stored(member_edits(by_bunch(packed, core, "left"), width).withColumn("lack", whole * F.size("edits") - part * F.col("n")), "near-edits")
+
+    heart = stored(found.groupBy("bunch").agg(F.min_by("rep", F.struct("lack", "rep")).alias("heart"), F.min("lack").alias("least")), "near-open", narrow=True)
+    known = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
+    near = by_bunch(found.select("bunch", "rep", "lack"), heart).where((F.col("lack") + F.col("least") <= 0) & (F.col("rep") != F.col("heart")))
+    near = near.join(known, "rep", "left").join(known.withColumnsRenamed({"rep": "heart", "label": "home"}), "heart", "left")
+    near = near.where(F.coalesce("label", "rep") != F.coalesce("home", "heart")).select(F.col("rep").alias("a"), F.col("heart").alias("b")).distinct()
+    edges = edges.unionByName(stored(verified(near, texts, width, percent), "near-links"))
     labels = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
-    named = open_.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(bunches, "rep", "left").withColumn("bunch", F.coalesce("bunch", "rep"))
-    named = stored(named, "near-open")
-    members = named.groupBy("bunch", "rep").agg(F.first("label").alias("label"))
-    counts = members.groupBy("bunch", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("bunch").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    members = stored(members.join(sizes, "bunch").select("bunch", "rep", "size"), "near-open", narrow=True)
-
-    sets = stored(member_shingles(members, texts, width), "near-sets")
-    frequency = sets.groupBy("bunch", "s").agg(F.count(F.lit(1)).alias("df"))
-    counted = sets.join(frequency, ["bunch", "s"]).join(members, ["bunch", "rep"])
-    shared = 2 * F.col("df") > F.col("size")
-    outside = F.sort_array(F.collect_list(F.when(~shared, F.struct("df", "s"))))
-    found = counted.groupBy("bunch", "rep", "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(shared).alias("c"), outside.alias("own"))
-    found = stored(found, "near-open")
-
-    # the member nearest to C is likely to link with all that are near to C
-    heart = found.groupBy("bunch").agg(F.min_by("rep", F.struct(F.col("n") - 2 * F.col("c"), "rep")).alias("heart"), F.min("n").alias("floor"))
-    found = found.join(heart, "bunch")
-    rim = (100 + percent) * F.col("c") >= percent * (F.col("n") + F.col("floor"))
-    edges = edges.unionByName(stored(verified(found.where(rim & (F.col("rep") != F.col("heart"))).select(F.col("rep").alias("a"), F.col("heart").alias("b")), texts, width, percent), "near-links"))
-    labels = stored(components(edges).withColumnRenamed("node", "rep"), "near-labels", narrow=True)
-    home = found.select("bunch", F.col("heart").alias("rep")).distinct().join(labels, "rep", "left").select("bunch", F.coalesce("label", "rep").alias("home"))
-    now = found.join(labels, "rep", "left").join(home, "bunch").withColumn("label", F.coalesce("label", "rep"))
-    now = stored(now.select("bunch", "rep", "label", "n", "c", "own", "floor", (F.col("label") != F.col("home")).alias("away")), "near-open")
-
-    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
-        return df.select("bunch", *more, *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "label", "n", "c")])
-
-    cross = F.col("label_a") != F.col("label_b")
-    enough = (100 + percent) * F.least("c_a", "c_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    wide = now.where(rim)
-    by_size = side(wide.where("away"), "a").join(side(wide, "b"), "bunch").where(cross & enough)
-    # the least number of shingles outside C that any link of a member needs, and so how many of its
-    # own, the rarest first, must hold one that the partner's have too
-    beyond = F.ceil(percent * (F.col("n") + F.greatest(F.col("n") * percent / 100, F.col("floor"))) / (100 + percent) - 1e-9) - F.col("c")
-    length = (F.size("own") - F.greatest(beyond, F.lit(1)) + 1).cast("int")
-    prefix = now.where(length > 0).select("bunch", "rep", "label", "n", "c", "away", F.explode(F.slice("own", F.lit(1), length)).alias("p"))
-    prefix = stored(prefix.where("p.df > 1").select("bunch", "rep", "label", "n", "c", "away", F.col("p.s").alias("s")), "near-open")
-    by_own = side(prefix.where("away"), "a", "s").join(side(prefix, "b", "s"), ["bunch", "s"]).where(cross & ~enough)
-    left, right = (named.select("key", F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}"), F.col("bunch").alias(f"bunch_{x}")) for x in "ab")
-    apart = left.join(right, "key").where(cross & (F.col("bunch_a") != F.col("bunch_b")) & (F.col("rep_a") > F.col("rep_b")))
-    pairs = by_size.select("rep_a", "rep_b").unionByName(by_own.select("rep_a", "rep_b")).unionByName(apart.select("rep_a", "rep_b"))
-    pairs = pairs.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b")).distinct()
+
+    shared = found.select("bunch", "rep", "t", F.explode("edits").alias("s"))
+    often = shared.groupBy("bunch", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = shared.join(often, ["bunch", "s"]).groupBy("rep", "t").agg(F.sort_array(F.collect_list(F.struct("df", "s")))["s"].alias("own"))
+    home = heart.join(labels.withColumnRenamed("rep", "heart"), "heart", "left").select("bunch", F.coalesce("label", "heart").alias("home"))
+    now = by_bunch(found.drop("edits").join(own, ["rep", "t"]).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), home)
+    # linked sets differ in size by a factor of 100 / percent at most, so by one band at most
+    wide = max(1.25, (100 / percent) ** 2)
+    band = F.floor(F.log("n") / math.log(wide))
+    step = F.floor(F.col("lack") * STEPS / (whole * F.pow(F.lit(wide), "band")))
+    now = now.withColumn("band", band).withColumn("step", step).withColumn("away", F.col("label") != F.col("home")).drop("home")
+    now = stored(now, "near-open")
+    classes = now.groupBy("bunch", "band", "step").agg(F.min("lack").alias("low"), F.max(F.size("own")).cast("long").alias("top"), F.max(F.col("away").cast("long")).alias("away"))
+    classes = classes.groupBy("bunch").agg(F.collect_list(F.struct("band", "step", "low", "top", "away")).alias("classes"), F.max("away").alias("any"))
+    keys = stored(prefix_keys(by_bunch(now, classes.where("any = 1").drop("any")), whole), "near-keys")
+    looking = keys.where("looks").select("m", F.col("rep").alias("x"), F.col("label").alias("label_x"))
+    looked = keys.where("not looks").select("m", F.col("rep").alias("y"), F.col("label").alias("label_y"))
+    pairs = looking.join(looked, "m").where(F.col("label_x") != F.col("label_y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     return edges.unionByName(verified(pairs, texts, width, percent))
 
 
@@ -273,6 +337,7 @@ def packed_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int, tables: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, label) of the classes that are linked with another."""
     keys = stored(table_keys(classes, tables), "near-keys")
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
     texts, edges, labels = None, None, None
     for turn in range(rounds + 1):
         if labels is None:
@@ -293,18 +358,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, width: int, percent: int,
             good = stored(verified(pairs, texts, width, percent), "near-links")
             edges = good if edges is None else edges.unionByName(good)
         else:
-            edges = stored(settled(open_, texts, edges, width, percent), "near-links")
+            edges = stored(settled(open_, texts, none if edges is None else edges, width, percent), "near-links")
         labels = components(edges)
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, label long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tables: int = TABLES, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     bounded_batches(docs.sparkSession)
     base = stored(described(docs, width, tables, rows), "near-documents")
     classes = base.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").cast("long").alias("rep"), F.first("bands").alias("bands"), F.min_by("t", "doc_id").alias("t"))
     classes = stored(classes, "near-classes")
-    labels = link_classes(docs, classes, width, percent, tables)
+    labels = link_classes(docs, classes, width, percent, tables, rounds)
     named = classes.select("c1", "c2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("component_id"))
     full = base.where("n > 0 and doc_id is not null").select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "n", "component_id")
     rest = base.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").cast("long").alias("component_id"))

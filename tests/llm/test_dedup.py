@@ -70,15 +70,39 @@ def test_near_large_group_with_heavier_and_lighter_edits(spark):
     assert near(df) == slow_components(texts)
 
 
+@pytest.mark.parametrize(("seed", "percent", "rounds"), [(5, 80, 0), (6, 80, 1), (7, 60, 0), (8, 100, 0)])
+def test_near_settles_families_that_share_passages(spark, seed, percent, rounds):
+    """Two families around bases of their own, members of both around a passage, and chains of edits: all that
+    the leaders would link is left to the settling step, or most of it."""
+    rng = random.Random(seed)
+    bases = [[f"{k}{rng.randrange(900)}" for _ in range(n)] for k, n in (("a", 90), ("b", 110))]
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(420):
+        words = list(rng.choice(bases))
+        if i % 4 == 0:
+            words = passage + words[: rng.choice([8, 20, 60])]
+        for _ in range(rng.choice([0, 0, 1, 3, 5, 7, 9, 12, 20])):
+            words[rng.randrange(len(words))] = rng.choice(["of", "the", f"x{rng.randrange(30)}", f"y{rng.randrange(9000)}"])
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.near_duplicates(df, 2, percent, rounds=rounds).collect()}
+    want = slow_components(texts, 2, percent)
+    if percent >= 80:
+        assert got == want
+    else:  # bands are set for 80 percent: below, a link may never be a candidate, but none is invented
+        assert all(want[d][1] <= got[d][1] for d in texts)
+
+
 def test_near_repeated_rows_count_once_a_class(spark):
     """Rows that repeat an id give one text and one set of shingles a class; other texts of the id stay apart."""
     rows = [(1, "a b c d")] * 3 + [(1, "p q r"), (2, "a b c e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     classes = neardup.described(docs, 2, 14, 3).groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("t", "doc_id").alias("t"))
     texts = neardup.packed_texts(docs, classes.select("rep", "t"))
-    members = spark.createDataFrame([(1, 1), (1, 2)], "bunch long, rep long")
-    sets = neardup.member_shingles(members, texts, 2).groupBy("rep", "t").agg(F.count("s").alias("n"), F.countDistinct("s").alias("d")).collect()
-    assert sorted((r.rep, r.n, r.d) for r in sets) == [(1, 2, 2), (1, 3, 3), (2, 3, 3)]
+    members = texts.selectExpr("1L as bunch", "rep", "t", "packed", "cast(null as array<long>) as core")
+    sets = neardup.member_edits(members, 2).collect()
+    assert sorted((r.rep, r.n, len(r.edits)) for r in sets) == [(1, 2, 2), (1, 3, 3), (2, 3, 3)]
 
 
 def test_near_empty_null_and_repeated_rows(spark, empty):
