@@ -11,7 +11,7 @@ The work, in order:
 1. Documents with equal sets fall into one class under its smallest id; only classes go on.
 2. A key (i, j) can only be shared by classes that share band i and band j. Bands that a class
    shares with no other are dropped first, so a class without near copies makes few keys or none.
-3. Rounds: every key elects a leader (by another order each round) and every class proposes one
+3. A round: every key elects a leader (by another order, if there are more rounds) and every class proposes one
    link, to the leader it meets most among those of other components. Proposals are verified on the
    full sets and the components updated; keys whose classes are all in one component are done. So a
    group of copies costs a link a member and not a pair of members.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, mix64, raw_texts, stored, window_hashes, word_hashes
 
 TABLES, ROWS = 14, 3
-ROUNDS = 3
+ROUNDS = 1
 #: Classes of partners in ``settled`` have lacks within this part of their size.
 STEPS = 36
 #: Keys that the rows of a bunch are dealt out over.
