@@ -9,7 +9,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of the contracts, [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
@@ -96,6 +97,50 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names that no column of df has, near to the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Masked:
+    """A frame whose columns have names of our own but for those that an operator reads.
+
+    ``inner`` is what the operator works on: no name in it can clash with a work column (these begin
+    with two underscores) or needs quoting. ``back`` gives the names back and adds the operator's
+    output columns; columns that had the name of an output column give way to it.
+    """
+
+    def __init__(self, df: DataFrame, needed: tuple[str, ...], out: tuple[str, ...]):
+        taken = {c.lower() for c in out}
+        self.out = out
+        self.names = [c for c in df.columns if c.lower() not in taken]
+        self.own = [c if c in needed else f"x{i}" for i, c in enumerate(self.names)]
+        self.inner = df.select(*[quoted(c).alias(o) for c, o in zip(self.names, self.own, strict=True)])
+
+    def back(self, df: DataFrame, *work: str) -> DataFrame:
+        """df has the inner columns and the work columns that become the output, in order."""
+        return df.select(*self.own, *work).toDF(*self.names, *self.out)
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame | None:
+    """(doc_id) of the ids that stand in several rows, or None: one column is read and counted."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    ids = stored(ids, "repeated-ids", narrow=True)
+    return None if ids.isEmpty() else ids
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster names in spark.checkpoint.dir.
 

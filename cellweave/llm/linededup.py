@@ -10,8 +10,9 @@ map-side pass without shuffling a text.
 Insertions and deletions of documents add to or take from the counts; keys that cross the threshold
 are inserted into or deleted from their shard's filter, so the index is reversible.
 
-Defined cases: null text counts as empty (one empty line); empty keys never drop; repeated rows of a
-document id count as separate documents; extra columns pass through; empty tables give empty results.
+Defined cases: null text counts as empty (one empty line); empty keys never drop; rows that repeat an id
+count as one document, rows without id as one each; extra columns pass through, and one with the name of an
+output column gives way to it; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, bounded_batches, raw_texts, stored
+from .common import WHITE, Masked, bounded_batches, raw_texts, repeated_ids, stored
 
 COUNT_SCHEMA = "k1 long, k2 long, n long"
 FILTER_SCHEMA = "shard int, n_shards int, table binary, exceptions binary"
+OUT = ("__n_lines", "__n_dropped", "__kept")
 #: Filters above this many bytes are joined instead of broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Keys a filter shard is sized for.
 SHARD_KEYS = 500_000
+#: Keys that stand beside a filter that is too large to broadcast.
+BLOCK_KEYS = 20_000
 
 
 def line_keys(raw: bytes) -> list[bytes]:
@@ -163,8 +167,13 @@ class Membership:
 
 
 def count_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
-    """(k1, k2, n): the exact number of documents (rows) with each line key of at least min_chars."""
+    """(k1, k2, n): the exact number of documents with each line key of at least min_chars.
+
+    Rows are counted, which combines before the shuffle; only rows that repeat an id are looked at by id.
+    """
     bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    again = repeated_ids(docs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -184,7 +193,18 @@ def count_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
         if seen:
             yield out()
 
-    parts = docs.select("text").mapInArrow(counted, COUNT_SCHEMA)
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, raw in zip(batch.column("doc_id"), raw_texts(batch), strict=True):
+                keys = hash_keys(list(long_enough(set(line_keys(raw)), min_chars)))
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(keys), doc.type), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "k1", "k2"])
+
+    once = docs if again is None else docs.join(again, "doc_id", "left_anti")
+    parts = once.select("text").mapInArrow(counted, COUNT_SCHEMA)
+    if again is not None:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        rows = docs.join(again, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(listed, f"doc_id {kind}, k1 long, k2 long").distinct()
+        parts = parts.unionByName(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")))
     return parts.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
 
 
@@ -239,7 +259,8 @@ def _with_exceptions(spark, filters: DataFrame, others: DataFrame, n_shards: int
         wrong = others.mapInArrow(tested, "k1 long, k2 long")
     else:
         # one shard's filter stands beside a bounded block of its keys
-        blocks = others.groupBy(F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard"), F.pmod("k2", F.lit(64)).alias("block")).agg(F.collect_list(F.struct("k1", "k2")).alias("ks"))
+        n_blocks = 1 + others.count() // (n_shards * BLOCK_KEYS)
+        blocks = others.groupBy(F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard"), F.pmod("k2", F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("k1", "k2")).alias("ks"))
 
         def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -297,9 +318,6 @@ def _rows(filters: DataFrame) -> list[tuple[int, int, bytes, bytes]]:
     return [(r.shard, r.n_shards, bytes(r.table), bytes(r.exceptions)) for r in filters.collect()]
 
 
-OUT = ("__n_lines", "__n_dropped", "__kept")
-
-
 def _rewritten(batch: pa.RecordBatch, dropped_of: list[set[bytes]], keys_of: list[list[bytes]]) -> pa.RecordBatch:
     total, gone, kept = [], [], []
     for raw, keys, dropped in zip(raw_texts(batch), keys_of, dropped_of, strict=True):
@@ -312,14 +330,16 @@ def _rewritten(batch: pa.RecordBatch, dropped_of: list[set[bytes]], keys_of: lis
     return pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *OUT])
 
 
-def drop_lines(docs: DataFrame, filters: DataFrame, min_chars: int = 1, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with __n_lines, __n_dropped and __kept (the text without lines whose key is in the index).
+def drop_lines(docs: DataFrame, filters: DataFrame, min_chars: int = 1, limit: int = BROADCAST_BYTES, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """docs with three columns named by ``out``: lines, dropped lines, and the text without those in the index.
 
     Filters up to ``limit`` bytes are broadcast; larger ones meet the distinct keys of the documents
     in a join on the shard, and each document gets its dropped keys by a join on a row number.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    masked = Masked(docs, ("doc_id", "text"), out)
+    docs = masked.inner
     schema = T.StructType([*docs.schema.fields, T.StructField(OUT[0], T.LongType()), T.StructField(OUT[1], T.LongType()), T.StructField(OUT[2], T.StringType())])
     if fits(filters, limit):
         held = spark.sparkContext.broadcast(_rows(filters))
@@ -334,9 +354,10 @@ def drop_lines(docs: DataFrame, filters: DataFrame, min_chars: int = 1, limit: i
                     hits = {every[i] for i in np.flatnonzero(member.contains(hash_keys(every))).tolist()}
                 yield _rewritten(batch, [hits] * len(keys_of), keys_of)
 
-        return docs.mapInArrow(rewritten, schema)
+        return masked.back(docs.mapInArrow(rewritten, schema), *OUT)
 
-    number = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text") if c in docs.columns]))
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit(""))))
+    number = docs.withColumn("__row", row)
     n_shards = filters.select("n_shards").first()[0]
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +369,12 @@ def drop_lines(docs: DataFrame, filters: DataFrame, min_chars: int = 1, limit: i
                 keys += mine
             if keys:
                 h = hash_keys(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["__row", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["__row", "k1", "k2"])
 
-    lines = number.select("__row", "text").mapInArrow(exploded, "__row long, k1 long, k2 long")
-    block = F.pmod("k2", F.lit(256)).alias("block")
-    blocks = lines.select("k1", "k2").distinct().groupBy(F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard"), block).agg(F.collect_list(F.struct("k1", "k2")).alias("ks"))
+    lines = number.select("__row", "text").mapInArrow(exploded, "__row string, k1 long, k2 long")
+    every = stored(lines.select("k1", "k2").distinct(), "line-keys")
+    block = F.pmod("k2", F.lit(1 + every.count() // (n_shards * BLOCK_KEYS))).alias("block")
+    blocks = every.groupBy(F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard"), block).agg(F.collect_list(F.struct("k1", "k2")).alias("ks"))
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,13 +397,13 @@ def drop_lines(docs: DataFrame, filters: DataFrame, min_chars: int = 1, limit: i
                 keys_of.append(keys)
             yield _rewritten(batch.drop_columns(["__row", "__drops"]), dropped_of, keys_of)
 
-    return number.join(drops, "__row", "left").select(*docs.columns, "__row", "__drops").mapInArrow(applied, schema)
+    return masked.back(number.join(drops, "__row", "left").select(*docs.columns, "__row", "__drops").mapInArrow(applied, schema), *OUT)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Counts, filters and rewrites: docs with __n_lines, __n_dropped and __kept."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """Counts, filters and rewrites: docs with three columns named by ``out``."""
     counts = stored(count_lines(docs, min_chars), "line-counts")
-    return drop_lines(docs, build_filters(counts, min_docs), min_chars)
+    return drop_lines(docs, build_filters(counts, min_docs), min_chars, out=out)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ a global shuffle that has the same result on any cluster.
 
 Defined cases: a null source is a source of its own; null texts count no code points; a source with
 no size has rate 1; repeated rows draw the same number and so the same copies; extra columns pass
-through; an empty table gives an empty result.
+through, and one with the name of an output column gives way to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import Masked, partitions, stored
 
+OUT = ("__copies", "__copy", "__key")
 #: Rows of source rates that are broadcast (about 10 MB).
 MAX_BROADCAST = 100_000
 #: Up to this rate the running sum begins at no copies; beyond it, below all that counts in double precision.
@@ -74,13 +75,15 @@ def poisson_inverse(rate: Column, u: Column) -> Column:
     return F.aggregate(steps, start, step)["k"]
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.7, target: float | None = None, by: str = "documents", seed: int = 17) -> DataFrame:
-    """docs with __copies (of the document) and __copy (from 1), shuffled globally.
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temperature: float = 0.7, target: float | None = None, by: str = "documents", seed: int = 17, out: tuple[str, str, str] = OUT) -> DataFrame:
+    """docs with three columns named by ``out``: copies of the document, copy (from 1) and shuffle key; shuffled globally.
 
     The join side has a row a source. Its rows are counted: up to MAX_BROADCAST go to every task, so
     that no document moves for its rate; with more sources a join deals them out, and Spark splits
     the hot ones.
     """
+    masked = Masked(docs, ("doc_id", "text", "source"), out)
+    docs = masked.inner
     rates = stored(source_rates(docs, weights, temperature, target, by), "source-rates", narrow=True)
     rates = F.broadcast(rates) if rates.count() <= MAX_BROADCAST else rates
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("__source")), "inner")
@@ -89,4 +92,4 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, temp
     key = uniform(seed + 1, F.col("doc_id"), F.col("__copy"), F.col("__copies"))
     spark = docs.sparkSession
     dealt = copies.withColumn("__key", key).repartition(partitions(spark), "__key").sortWithinPartitions("__key")
-    return dealt.select(*docs.columns, "__copies", "__copy", "__key")
+    return masked.back(dealt, "__copies", "__copy", "__key")

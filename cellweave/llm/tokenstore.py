@@ -58,6 +58,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+        self.bytes = high.tobytes()  # for select, which looks at single bytes
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -73,13 +74,13 @@ class EliasFano:
 
     def select(self, i: int) -> int:
         """Value i: the place of the i-th set bit gives the high part, found from the sample before."""
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
+        at, left, high = int(self.samples[i // SAMPLE]), i % SAMPLE, self.bytes
         byte = at >> 3
-        left += int(self.high[byte] & ((1 << (at & 7)) - 1)).bit_count()  # set bits before the sample in its byte
-        while left >= (ones := int(self.high[byte]).bit_count()):
+        left += (high[byte] & ((1 << (at & 7)) - 1)).bit_count()  # set bits before the sample in its byte
+        while left >= (ones := high[byte].bit_count()):
             left -= ones
             byte += 1
-        word = int(self.high[byte])
+        word = high[byte]
         for _ in range(left):
             word &= word - 1
         place = (byte << 3) + (word & -word).bit_length() - 1
@@ -134,7 +135,9 @@ class ChunkEncoder:
     """The tokenizers library behind a memory of chunks.
 
     Texts split where the byte-level pattern always splits: before a single space that follows a
-    non-space, before or after a run of white space, and between a word and punctuation after it. The library encodes each new chunk once.
+    non-space, before or after a run of white space, and between a word and punctuation after it. The library
+    encodes each new chunk once. Texts that hold an added token of the file (such as an end-of-text
+    mark spelled out) go to the library whole, as does every text if the file is not byte-level.
     """
 
     def __init__(self, blob: bytes):
@@ -142,10 +145,16 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
-        self.tokenizer.encode_special_tokens = True
-        self.byte_level = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.encode("A b", add_special_tokens=False).ids == [t.id for w in ("A", "\u0120b") for t in self.tokenizer.model.tokenize(w)]
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        plain = self.tokenizer.normalizer is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
+        self.byte_level = plain and type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space and self._ids_of("A b") == [t.id for w in ("A", "\u0120b") for t in model.tokenize(w)]
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else None
         self.forget()
 
+    def _ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.index: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids, self.offsets = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
@@ -155,13 +164,16 @@ class ChunkEncoder:
             self.forget()
         numbered = []
         for t in texts:
+            if not self.byte_level or self.holds_added and self.holds_added(t):
+                numbered.append(t)
+                continue
             chunks = _chunks(t)
             numbered.append(np.fromiter(map(self.index.__getitem__, chunks), dtype=np.int32, count=len(chunks)))
         got = self._encoded(list(islice(self.index, len(self.offsets) - 1, None)))
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(lengths.sum()))))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(lengths)))
-        return map(self._ids, numbered)
+        return (np.array(self._ids_of(n), dtype=np.int32) if isinstance(n, str) else self._ids(n) for n in numbered)
 
     def _encoded(self, new: list[str]) -> list[list[int]]:
         """Ids of each chunk. A chunk of letters is one piece, which the library's model takes in the
@@ -170,7 +182,7 @@ class ChunkEncoder:
         gc.disable()  # many small lists and no cycles
         for i, chunk in enumerate(new):
             word = chunk[1:] if chunk[0] == " " else chunk
-            if self.byte_level and word.isalpha():
+            if word.isalpha():
                 spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
                 out.append([t.id for t in tokenize(spelled if word is chunk else "\u0120" + spelled)])
             else:
@@ -262,28 +274,34 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
 
 
 def shard_starts(store: DataFrame) -> DataFrame:
-    """(part, seq, start): ids in all shards before. A row a shard, about a MB each, reaches one task."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return store.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("start"))
+    """(part, seq, start): ids in all shards before. Totals of the parts, which are as many as write_store
+    dealt out whatever the input, are summed up in one task; shards within their part."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = store.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    shards = store.select("part", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("start"))
+    return shards.join(parts, "part").select("part", "seq", (F.col("base") + F.col("start")).alias("start"))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files.
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files, its bounds by select.
 
     A task holds the shards of one input split, so spark.sql.files.maxPartitionBytes bounds it.
     """
     store = spark.read.parquet(path)
     kind = store.schema["doc_ids"].dataType.elementType.simpleString()
+
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard.unpack(batch.column("blob")[i].as_py())
                 doc_ids = batch.column("doc_ids")[i].values
-                bounds = shard.bounds.values()
-                wide = shard.ids.astype("<u4")
-                sums = [zlib.crc32(wide[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                n = len(doc_ids)
-                columns = [pa.array([batch.column("part")[i].as_py()] * n, pa.int32()), pa.array([batch.column("seq")[i].as_py()] * n, pa.int32()), doc_ids, pa.array(bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())]
+                n, end = len(doc_ids), shard.bounds.select(0)
+                local, size, sums = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+                for j in range(n):
+                    begin, end = end, shard.bounds.select(j + 1)
+                    local[j], size[j], sums[j] = begin, end - begin, zlib.crc32(shard.ids[begin:end].astype("<u4"))
+                columns = [pa.array([batch.column("part")[i].as_py()] * n, pa.int32()), pa.array([batch.column("seq")[i].as_py()] * n, pa.int32()), doc_ids, pa.array(local), pa.array(size), pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     rows = store.select("part", "seq", "doc_ids", "blob").mapInArrow(documents, f"part int, seq int, doc_id {kind}, local long, n_tokens long, ids_crc32 long")

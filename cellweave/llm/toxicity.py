@@ -1,6 +1,6 @@
 """Toxicity (operator 1): character n-gram linear classifier with naive Bayes log-count ratios.
 
-Features are hashed character n-grams (UTF-8 bytes, A-Z lower-cased) that a text contains or not.
+Features are hashed character n-grams (code points, A-Z lower-cased) that a text contains or not.
 From a bounded sample of labelled documents each feature gets its naive Bayes log-count ratio
 
     r = log((df_toxic + 1) / (n_toxic + 1)) - log((df_clean + 1) / (n_clean + 1))
@@ -17,7 +17,8 @@ take part. Without both classes the score is the share of toxic labels, or 0.5 w
 
 Defined cases: null text counts as empty and scores the intercept; documents without label are
 scored like others; a null id is held out by the checksum of the empty text; repeated rows score
-alike; extra columns play no part; empty tables give empty results.
+alike; extra columns play no part, and one with the name of the output column gives way to it; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, raw_texts
+from .common import Masked, bounded_batches, raw_texts
 
 BITS = 20
 SIZES = (4, 5)
@@ -40,6 +42,8 @@ MAX_ROWS = 2000
 MAX_FEATURES = 4096
 #: Present features that a step of the regression looks at together.
 FIT_BLOCK = 1 << 18
+#: Code points that are hashed together.
+PIECE = 1 << 19
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09], dtype=np.uint32)
 
 
@@ -47,14 +51,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def points(raw: bytes) -> np.ndarray:
+    """Code points of a UTF-8 text, A-Z lower-cased."""
+    return np.frombuffer(raw.lower().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+
+
 def grams(buf: np.ndarray, size: int) -> np.ndarray:
-    """Hashed n-grams at every position of a byte buffer; sizes share the space but not the hashes."""
+    """Hashed n-grams at every position of a buffer of code points; sizes share the space but not the hashes."""
     n = len(buf) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint32)
     out = np.full(n, size * 0x9E37, dtype=np.uint32)
     for i in range(size):
-        out += (buf[i : i + n].astype(np.uint32) + np.uint32(1)) * _MULTIPLIERS[i]
+        out += (buf[i : i + n] + np.uint32(1)) * _MULTIPLIERS[i]
         out ^= out >> np.uint32(15)
         out *= np.uint32(0x2C1B3C6D)
     out ^= out >> np.uint32(13)
@@ -63,7 +72,7 @@ def grams(buf: np.ndarray, size: int) -> np.ndarray:
 
 def features(raw: bytes, bits: int = BITS) -> np.ndarray:
     """Sorted distinct features of a whole text, in pieces that overlap by an n-gram."""
-    buf, step, parts = np.frombuffer(raw.lower(), dtype=np.uint8), 1 << 20, []
+    buf, step, parts = points(raw), PIECE, []
     for size in SIZES:
         for at in range(0, max(1, len(buf) - size + 1), step):
             parts.append(np.unique(grams(buf[at : at + step + size - 1], size) >> np.uint32(32 - bits)))
@@ -85,17 +94,17 @@ class Model:
         sums = np.full(len(texts), self.bias)
         block, size, begin = [], 0, 0
         for i, raw in enumerate(texts):
-            block.append(raw)
-            size += len(raw)
-            if size >= 1 << 20 or i == len(texts) - 1:
+            block.append(points(raw))
+            size += len(block[-1])
+            if size >= PIECE or i == len(texts) - 1:
                 sums[begin : i + 1] += self._block(block)
                 block, size, begin = [], 0, i + 1
         return (1 / (1 + np.exp(-np.clip(sums, -500, 500)))).tolist()
 
-    def _block(self, texts: list[bytes]) -> np.ndarray:
-        joined = np.frombuffer(b"".join(texts).lower(), dtype=np.uint8)
+    def _block(self, texts: list[np.ndarray]) -> np.ndarray:
+        joined = np.concatenate(texts)
         ends = np.cumsum([len(t) for t in texts])
-        seen, step = [], 1 << 20
+        seen, step = [], PIECE
         for size in SIZES:
             for at in range(0, len(joined), step):
                 ids = grams(joined[at : at + step + size - 1], size) >> np.uint32(32 - BITS)
@@ -179,8 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
                 own = features(raw)
                 ids.append(own.astype("<u4").tobytes())
                 # copies share their least hash of 8-grams with high probability
-                buf = np.frombuffer(raw.lower(), dtype=np.uint8)
-                whole = grams(buf, 8)
+                whole = grams(points(raw), 8)
                 least.append(int(whole.min()) if len(whole) else -1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(least, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "y", "least", "ids"])
 
@@ -204,8 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return Model(row.bias, weights)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __toxic, the score of the whole text; a map with the model broadcast."""
+def score_documents(docs: DataFrame, model: Model, out: str = "__toxic") -> DataFrame:
+    """docs with the score of the whole text; a map with the model broadcast."""
+    masked = Masked(docs, ("doc_id", "text"), (out,))
     spark = docs.sparkSession
     bounded_batches(spark)
     at = np.flatnonzero(model.weights)  # at most MAX_FEATURES
@@ -219,8 +228,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local.scores(raw_texts(batch)), pa.float64())], [*batch.schema.names, "__toxic"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scored, f"{fields}, __toxic double")
+    schema = T.StructType([*masked.inner.schema.fields, T.StructField("__toxic", T.DoubleType())])
+    return masked.back(masked.inner.mapInArrow(scored, schema), "__toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

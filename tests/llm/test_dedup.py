@@ -183,6 +183,34 @@ def test_lines_min_chars_and_empty(spark, empty):
     assert linededup.digest(linededup.dedup_lines(empty, 2)).collect() == []
 
 
+def test_lines_of_an_id_in_many_rows_are_one_document(spark):
+    rows = [(1, "often\nonce")] * 12 + [(i, f"shared\nown {i}") for i in range(2, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_dropped) for r in linededup.digest(linededup.dedup_lines(df, 10)).collect()}
+    assert got == {(1, 0), *((i, 1) for i in range(2, 13))}
+
+
+def test_lines_of_a_text_beyond_a_megabyte(spark):
+    long = "\n".join(f"line {i % 70_000} of a long text" for i in range(100_000))
+    texts = {i: f"common\n{long[: 1000 * i]}" for i in range(3)} | {5: long + "\ncommon"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(long) > 2_000_000
+    assert {r.doc_id: tuple(r)[1:] for r in linededup.digest(linededup.dedup_lines(df, 3)).collect()} == slow_lines(texts, 3)
+
+
+def test_near_splits_words_at_every_white_space(spark):
+    texts = {1: "a\rb\x0cc\x0bd\te f", 2: "a b c d e f", 3: "a\x85b c\xa0d e f"}
+    assert near(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == slow_components(texts)
+
+
+def test_near_texts_beyond_a_megabyte(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(40_000)}" for _ in range(220_000)]
+    texts = {1: " ".join(words), 2: " ".join(words[:-3000] + ["x"] * 3000), 3: " ".join(words[: len(words) // 2])}
+    assert len(texts[1]) > 1_200_000
+    assert near(spark.createDataFrame(list(texts.items()), "doc_id long, text string")) == slow_components(texts)
+
+
 def test_cuckoo_filter_inserts_and_deletes():
     rng = np.random.default_rng(3)
     keys = rng.integers(-(2**63), 2**63 - 1, (5000, 2))

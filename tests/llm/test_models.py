@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import ann, mixing, neardup, queries, toxicity
+from cellweave.llm import ann, fingerprint, linededup, mixing, neardup, queries, substring, toxicity
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -90,6 +90,51 @@ def test_toxicity_fit_is_the_same_in_any_blocks(monkeypatch):
     assert parts.bias == pytest.approx(whole.bias, abs=1e-9) and np.allclose(parts.weights, whole.weights, atol=1e-6) and whole.weights.any()
 
 
+def test_toxicity_grams_are_of_characters():
+    """A gram is of code points: letters of one, two, three or four bytes count alike."""
+    assert [len(toxicity.features(t.encode())) for t in ("abcd", "éèêë", "中文字符", "😀😁😂🤣", "abc")] == [1, 1, 1, 1, 0]
+    assert (toxicity.features("ÄBCDE".encode()) == toxicity.features("Äbcde".encode())).all()
+    assert (toxicity.features(b"ABCDE") == toxicity.features(b"abcde")).all()
+
+
+# -- columns that clash with work columns or need quotes
+
+AWKWARD = ["__toxic", "__n_lines", "__n_dropped", "__kept", "__copies", "__copy", "__key", "__source", "__rate", "__place", "__hash", "__drops", "x0", "n", "a.b", "tick`s", "label"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, docs):
+    return docs.select("*", *[F.lit(i).alias(name) for i, name in enumerate(AWKWARD)])
+
+
+def test_stages_keep_awkward_columns(spark, awkward):
+    repeated = awkward.unionByName(awkward.where("doc_id = 3"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, repeated, SMALL)
+        assert after.columns == awkward.columns, name
+        rows = after.collect()
+        assert rows and all(tuple(r)[-len(AWKWARD) :] == tuple(range(len(AWKWARD))) for r in rows), name
+        if name == "MinHash near-dedup":
+            assert [r.doc_id for r in rows if r.doc_id in (3, 4)] == [3]
+    assert corpus_pipeline.STAGES[-1][1](spark, repeated, SMALL).count() == repeated.count()
+
+
+def test_operators_replace_columns_of_their_output_names(awkward):
+    model = toxicity.Model(0.0, np.zeros(1 << toxicity.BITS, dtype=np.float32))
+    for got, out in (
+        (toxicity.score_documents(awkward, model), ("__toxic",)),
+        (linededup.dedup_lines(awkward), linededup.OUT),
+        (mixing.mix(awkward), mixing.OUT),
+    ):
+        assert got.columns == [c for c in awkward.columns if c not in out] + list(out)
+        assert got.where(F.col("`a.b`") == AWKWARD.index("a.b")).count() == got.count() > 0
+
+
+def test_other_operators_ignore_awkward_columns(docs, awkward):
+    for operator in (neardup.near_duplicates, substring.dedup_substrings, fingerprint.fingerprints):
+        assert sorted(map(str, operator(awkward).collect())) == sorted(map(str, operator(docs).collect()))
+
+
 # -- mixing
 
 

@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from cellweave.llm import bpe, tokenstore, unigram
 
@@ -109,7 +109,6 @@ def test_token_store(spark, request, table, tmp_path):
     df = request.getfixturevalue(table)
     texts = {r.doc_id: r.text or "" for r in df.collect()}
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want, start = {}, 0
     for doc in sorted(texts):
         ids = [*library.encode(texts[doc], add_special_tokens=False).ids, 0]
@@ -122,9 +121,26 @@ def test_token_store(spark, request, table, tmp_path):
 def test_token_store_chunks_like_the_library():
     with open(P.path("byte_bpe_50k.json"), "rb") as f:
         enc = tokenstore.ChunkEncoder(f.read())
-    texts = [t for t in odd_texts() if t]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = next(iter(library.get_added_tokens_decoder().values())).content
+    texts = [t for t in odd_texts() if t] + [mark, f"hi {mark} there", f"{mark}{mark}\n a{mark}b", mark[:-1] + " >"]
+    assert enc.byte_level
     for text, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_store_takes_other_tokenizer_files(spark, tmp_path):
+    """A file that is not byte-level is left to the library text by text."""
+    model = models.WordLevel({"[UNK]": 0, "a": 1, "b": 2, ".": 3, "[MARK]": 4}, unk_token="[UNK]")
+    other = Tokenizer(model)
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.add_special_tokens(["[MARK]"])
+    other.save(str(tmp_path / "words.json"))
+    texts = ["a b.", "b.a", "", "a [MARK]b zz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = tokenstore.write_store(df, str(tmp_path / "words.json"), end_id=9, path=str(tmp_path / "store"))
+    want = [[*other.encode(t, add_special_tokens=False).ids, 9] for t in texts]
+    assert [r.ids_crc32 for r in sorted(tokenstore.read_store(spark, path).collect(), key=lambda r: r.doc_id)] == [zlib.crc32(np.array(w, dtype="<u4").tobytes()) for w in want]
 
 
 def test_token_store_empty_and_null_ids(spark, empty, tmp_path):
