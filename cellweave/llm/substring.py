@@ -25,7 +25,9 @@ columns play no part; empty tables give empty results.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ WIDTH = 50
 ANCHOR_WORDS = 12
 #: Documents beyond which an anchor's windows stand alone.
 COMMON = 200
-#: Words in a reference shard before it is closed.
-SHARD_WORDS = 60_000
+#: Bytes of text in a reference shard before it is closed.
+SHARD_BYTES = 400_000
 
 
 def runs(words: np.ndarray, width: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,7 +164,8 @@ def shared_anchors(docs: DataFrame, width: int, anchor_words: int, common: int)
 
 
 def segments(texts: DataFrame, anchors: DataFrame, width: int, anchor_words: int) -> DataFrame:
-    """(h, s1, s2, words, doc_id, t, first, n): runs under their anchor; words is null for single windows."""
+    """(h, s1, s2, words, doc_id, t, first, n): runs under their anchor with the text of their words; that
+    is null for single windows."""
     names = ["h", "s1", "s2", "words", "doc_id", "t", "first", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +173,16 @@ def segments(texts: DataFrame, anchors: DataFrame, width: int, anchor_words: int
         for batch in batches:
             rows = []
             for doc, t, blob, rare, common in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "packed", "rare", "common")), strict=True):
-                words = word_hashes(unpack(blob))[2]
+                raw = unpack(blob)
+                begin, end, words = word_hashes(raw)
                 one = window_hashes(words, width).view(np.int64)
                 two = window_hashes(mix64(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), width).view(np.int64)
                 hashes, first, last = runs(words, width, anchor_words)
-                hashes, small = hashes.view(np.int64), words.astype("<u4")
+                hashes = hashes.view(np.int64)
                 usual = np.isin(hashes, np.array(rare, dtype=np.int64))
                 for h, a, b in zip(hashes[usual].tolist(), first[usual].tolist(), last[usual].tolist(), strict=True):
                     whole = window_hashes(words[a : b + width], b + width - a).view(np.int64)[0]
-                    rows.append((h, int(whole), int(one[a] ^ two[b]), small[a : b + width].tobytes(), doc, t, a, b - a + 1))
+                    rows.append((h, int(whole), int(one[a] ^ two[b]), raw[begin[a] : end[b + width - 1]], doc, t, a, b - a + 1))
                 for a, b in zip(*(x[np.isin(hashes, np.array(common, dtype=np.int64))].tolist() for x in (first, last)), strict=True):
                     rows += [(int(one[i]), int(two[i]), 0, None, doc, t, i, 1) for i in range(a, b + 1)]
                 if len(rows) > 4000:
@@ -194,15 +198,15 @@ def segments(texts: DataFrame, anchors: DataFrame, width: int, anchor_words: int
     return texts.join(anchors, ["doc_id", "t"]).mapInArrow(run, "h long, s1 long, s2 long, words binary, doc_id long, t long, first int, n int")
 
 
-def shard_owners(distinct: DataFrame, width: int, shard_words: int) -> DataFrame:
+def shard_owners(distinct: DataFrame, width: int, shard_bytes: int) -> DataFrame:
     """(h, s1, s2, owners): smallest id for each window of a segment; one value where it is the same for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size, group = [], 0, []  # rows are (h, s1, s2, lo, hi, words)
 
         def solved() -> Iterator[tuple]:
-            automaton = SuffixAutomaton()
-            split = [np.frombuffer(r[5], dtype="<u4").tolist() for r in shard]
+            automaton, numbers = SuffixAutomaton(), defaultdict(count().__next__)
+            split = [[numbers[w] for w in r[5].split()] for r in shard]
             for i in sorted(range(len(shard)), key=lambda i: shard[i][3]):
                 automaton.add(split[i], shard[i][3])
             for r, words in zip(shard, split, strict=True):
@@ -218,8 +222,8 @@ def shard_owners(distinct: DataFrame, width: int, shard_words: int) -> DataFrame
                         yield (*r[:3], [r[3]])
             else:
                 shard.extend(group)
-                size += sum(len(r[5]) // 4 for r in group)
-                if size >= shard_words:
+                size += sum(len(r[5]) for r in group)
+                if size >= shard_bytes:
                     yield from solved()
                     shard.clear()
                     size = 0
@@ -245,14 +249,14 @@ def shard_owners(distinct: DataFrame, width: int, shard_words: int) -> DataFrame
     return dealt.select("h", "s1", "s2", "lo", "hi", "words").mapInArrow(run, "h long, s1 long, s2 long, owners array<long>")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor_words: int = ANCHOR_WORDS, common: int = COMMON, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor_words: int = ANCHOR_WORDS, common: int = COMMON, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, t, spans): first and last word of each maximal removed span, of documents that have any."""
     bounded_batches(docs.sparkSession, 1000)
     anchor_words = min(anchor_words, width)
     anchors = stored(shared_anchors(docs, width, anchor_words, common), "shared-anchors")
     parts = stored(segments(packed(docs), anchors, width, anchor_words), "segments")
     distinct = parts.groupBy("h", "s1", "s2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
-    owners = shard_owners(distinct, width, shard_words)
+    owners = shard_owners(distinct, width, shard_bytes)
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

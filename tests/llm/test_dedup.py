@@ -269,7 +269,7 @@ def test_substrings_small_alphabet(spark, common):
             words += rng.choice(passages)[rng.randrange(4) :] + [rng.choice("vwxyz") for _ in range(rng.randrange(4))]
         texts[i * 3] = " ".join(words)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    assert substrings(df, 8, anchor_words=3, common=common, shard_words=300) == slow_spans(texts, 8)
+    assert substrings(df, 8, anchor_words=3, common=common, shard_bytes=2000) == slow_spans(texts, 8)
 
 
 def test_substrings_null_and_repeated_ids(spark, empty):
