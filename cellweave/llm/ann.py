@@ -6,7 +6,8 @@ in, as far as part sizes allow. A small classifier (one hidden layer) learns to
 from the vector. It sends every row to its likeliest part and every query to its several likeliest
 parts, where exact cosines rerank all rows.
 
-Every row is indexed; only the fit is sampled. The number of parts that a query probes is chosen on
+Every row is indexed; only the fit is sampled. Parts grow with the table, so that the rows of a part do
+not. The number of parts that a query probes is chosen on
 the sample: queries held out of the fit are compared with their exact neighbours in the sample, and
 parts are added until the wanted recall is passed with a margin.
 
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, stored
 
-#: Bound of the sample that parts and classifier are learned from, in vectors.
-SAMPLE = 6000
-PARTS = 24
+#: Parts: one for so many rows, within bounds.
+ROWS_A_PART, LEAST_PARTS, MOST_PARTS = 50_000, 24, 1024
+#: Bound of the sample that parts and classifier are learned from, in vectors; more parts take SAMPLE_A_PART each.
+SAMPLE, SAMPLE_A_PART = 6000, 64
 NEIGHBOURS = 10
 #: Rows a block holds about.
-BLOCK = 4000
+BLOCK = 25_000
 QUERY_BLOCK = 512
 
 
@@ -125,7 +127,7 @@ def fit_router(unit: np.ndarray, part: np.ndarray, parts: int, graph: np.ndarray
     return Router(*shape, probes=parts)
 
 
-def learn(sample: np.ndarray, parts: int = PARTS, k: int = 5, recall: float = 0.95, seed: int = 7) -> Router:
+def learn(sample: np.ndarray, parts: int = LEAST_PARTS, k: int = 5, recall: float = 0.95, seed: int = 7) -> Router:
     """Fits parts and router, and sets how many parts a query probes."""
     rng = np.random.default_rng(seed)
     unit = unit_rows(sample)[rng.permutation(len(sample))]
@@ -164,7 +166,7 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((rows * rows).sum(axis=1)) * math.sqrt(float((query * query).sum())))
 
 
-def search(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = PARTS, recall: float = 0.95) -> DataFrame:
+def search(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_part: int = ROWS_A_PART, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): nearest rows of the rows whose id is divisible by ``every``."""
     spark = table.sparkSession
     rows = vectors(table, id_col, vector_col)
@@ -174,8 +176,9 @@ def search(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
         return spark.createDataFrame([], result)
     rows = rows.where(F.size("v") == sizes["d"])
     bounded_batches(spark)
+    parts = min(MOST_PARTS, max(LEAST_PARTS, -(-sizes["n"] // rows_a_part)))
     # distinct vectors, so that copies do not fill the sample
-    sample = rows.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy(F.xxhash64("h")).limit(SAMPLE)
+    sample = rows.select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy(F.xxhash64("h")).limit(max(SAMPLE, SAMPLE_A_PART * parts))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [matrix(b.column("v")) for b in batches if b.num_rows]
@@ -201,7 +204,7 @@ def search(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id"
 
     placed = stored(rows.mapInArrow(routed, "vec_id long, v array<double>, probes array<int>"), "ann-rows")
     home = placed.select(F.col("probes")[0].alias("part"), "vec_id", "v")
-    counts = {r["part"]: r["n"] for r in home.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PARTS rows
+    counts = {r["part"]: r["n"] for r in home.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_PARTS rows
     blocks = {p: max(1, -(-n // BLOCK)) for p, n in counts.items()}
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for p, n in sorted(blocks.items()) for x in (p, n)]), F.col("part"))
     asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("probes").alias("part")).where(F.col("part").isin(list(blocks)))

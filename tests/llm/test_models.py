@@ -225,6 +225,20 @@ def test_search_recall_and_exact_scores(spark):
             assert s == pytest.approx(a @ b / math.sqrt((a @ a) * (b @ b)), abs=1e-14)
 
 
+def test_search_probes_few_of_many_parts_where_vectors_cluster(spark):
+    """Parts follow the table's size; where vectors lie in groups, few parts need to be looked at."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    vectors = centres[rng.integers(0, 60, 4000)] + 0.15 * rng.normal(size=(4000, 24))
+    router = ann.learn(vectors, parts=40)
+    assert len(router.b2) == 40 and router.probes <= 10
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    want, hits = ann.exact(table), 0
+    for r in ann.search(table, rows_a_part=100).collect():
+        hits += r.vec_id in {v for v, _ in want[r.query_id]}
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_search_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (50, [0.0, 2.0], 1), (1, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (100, [float("inf"), 0.0], 1), (8, [-1.0, 1e-9], 1)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), k=5).orderBy("query_id", "rank").collect()
