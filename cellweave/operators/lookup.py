@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import ranges
+from .order import cutter
 
 
 def key(c: Column, kind: T.DataType) -> Column:
@@ -38,13 +39,16 @@ def exact(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column
     return out.drop("__lkey", "__key", "__hit")
 
 
-def nearest(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, values: dict[str, Column], larger: bool = False, partition: tuple[Column, Column] | None = None) -> DataFrame:
+def nearest(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, values: dict[str, Column], larger: bool = False, partition: tuple[Column, Column] | None = None, base: DataFrame | None = None, cut: tuple[Column, list[int]] | None = None) -> DataFrame:
     """As exact, with the row of the largest key not above the wanted one (or the smallest not below).
 
     Both sides stand in one order, cut into ranges; the last looked-up row before a range is carried
-    into it. With a partition (a left and a right column that must agree) ranges are not needed.
+    into it. With a partition (a left and a right column that must agree) the order is by partition first,
+    so that one that holds most rows is many ranges. base: a frame with the rows of left before other steps;
+    where it has the wanted keys, the ranges are found on it. cut: a cutter's result by __part and __k.
     """
-    hit = F.struct(right_key.alias("k"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("v"))
+    part_of_hit = partition[1] if partition else F.lit(0)
+    hit = F.struct(part_of_hit.alias("p"), right_key.alias("k"), F.struct(*[v.alias(n) for n, v in values.items()]).alias("v"))
     # of equal keys the last counts, as in a sorted search
     looked = right.select((partition[1] if partition else F.lit(0)).alias("__part"), right_key.alias("__k"), F.lit(0 if not larger else 1).alias("__side"), hit.alias("__hit"))
     looked = looked.where("__k is not null").groupBy("__part", "__k", "__side").agg(F.max("__hit").alias("__hit"))
@@ -52,20 +56,32 @@ def nearest(left: DataFrame, left_key: Column, right: DataFrame, right_key: Colu
     asked = left.select((partition[0] if partition else F.lit(0)).alias("__part"), left_key.alias("__k"), F.lit(1 if not larger else 0).alias("__side"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     both = asked.withColumn("__hit", F.lit(None).cast(looked.schema["__hit"].dataType)).unionByName(looked.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)))
     keys = [F.col("__k").desc() if larger else F.col("__k").asc(), F.col("__side").desc() if larger else F.col("__side").asc()]
-    if partition:
-        window = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        done = both.withColumn("__got", F.last("__hit", ignorenulls=True).over(window))
+    place, every = cut or _cut(left, left_key, base, looked, larger, partition)
+    if partition:  # keys are numbers here
+        end = F.max_by("__hit", F.struct("__hit.p", -F.col("__hit.k") if larger else F.col("__hit.k")))
     else:
-        both = ranges(both, [("__k", not larger)])
-        per = both.groupBy("__range").agg((F.min_by if larger else F.max_by)("__hit", "__hit.k").alias("__carry"))
-        before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        carry = per.select("__range", F.last("__carry", ignorenulls=True).over(before).alias("__carry"))
-        window = Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        done = both.join(F.broadcast(carry), "__range").withColumn("__got", F.coalesce(F.last("__hit", ignorenulls=True).over(window), F.col("__carry")))
+        end = (F.min_by if larger else F.max_by)("__hit", "__hit.k")
+    # only the looked-up side carries from range to range, also across ranges without any of it
+    per = looked.withColumn("__range", place).groupBy("__range").agg(end.alias("__carry"))
+    held = left.sparkSession.createDataFrame([(r,) for r in every], "__range long").join(per, "__range", "left")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # few rows
+    carry = held.select("__range", F.last("__carry", ignorenulls=True).over(before).alias("__carry"))
+    window = Window.partitionBy("__range", "__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    before_it = F.when(F.col("__carry.p") == F.col("__part"), F.col("__carry"))
+    done = both.withColumn("__range", place).join(F.broadcast(carry), "__range").withColumn("__got", F.coalesce(F.last("__hit", ignorenulls=True).over(window), before_it))
     found = done.where("__row is not null")
     return found.select("__row.*", *[F.col(f"__got.v.{n}").alias(n) for n in values], F.col("__got").isNotNull().alias("__found"))
 
 
+def _cut(left: DataFrame, left_key: Column, base: DataFrame | None, looked: DataFrame, larger: bool, partition: tuple[Column, Column] | None) -> tuple[Column, list[int]]:
+    wanted = [(partition[0] if partition else F.lit(0)).alias("__part"), left_key.alias("__k")]
+    try:
+        keyed = (left if base is None else base).select(*wanted)
+    except AnalysisException:
+        keyed = left.select(*wanted)
+    return cutter(keyed.unionByName(looked.select("__part", "__k")), ([("__part", True)] if partition else []) + [("__k", not larger)])
+
+
 def pattern(left: DataFrame, left_pattern: Column, right: DataFrame, right_key: Column, order: list[Column], values: dict[str, Column]) -> DataFrame:
     """As exact, with the first row whose key matches the left row's pattern (a regular expression).
 

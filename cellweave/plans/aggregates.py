@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..formula.nodes import ArrayLiteral, Call, Literal, Node, Omitted, TableRef, Unary
 from ..functions.mathematics import SUBTOTALS
-from ..operators.order import values_at, with_ordinal
+from ..operators.order import Places, with_ordinal
 from ..values import DIV0, NA, NIMPL, NUM, VALUE, Error, criterion
 from . import columns as C
 from .columns import Ex, Unsupported, errors, flag, literal
@@ -239,7 +239,12 @@ def reduce_(book, rows, name: str, args: tuple[Node, ...], locals_: dict) -> Red
     if name in DATABASE or name == "DGET":
         return database(book, rows, name, args, table, array)
     if name == "ROWS":
-        return Reduction(table, *plain(lambda c: c, F.count(F.lit(1))))
+        if isinstance(args[0], TableRef):
+            return Reduction(table, *plain(lambda c: c, F.count(F.lit(1))))
+        from .relations import Compiler
+
+        made = Compiler(book).relation(args[0]).frame()
+        return Reduction(table, [], lambda c: Ex("num", c[0].cast("double"), c[1]), made.agg(F.count(F.lit(1)).alias("v"), F.lit(None).cast("string").alias("e")))
     if name == "Z.TEST":
         v, at = lane(array(args[0])), number_of(args[1])
         sigma = F.lit(float(number_of(args[2]))) if len(args) > 2 else None
@@ -330,7 +335,11 @@ def several_passes(book, name: str, args: tuple[Node, ...], table: str, array, l
         def place(n: int) -> float:
             return p * (n + 1) - 1 if name.endswith("EXC") else p * (n - 1)
 
-        n, found = values_at(frame(args[0]).select("v0"), "v0", lambda n: (math.floor(place(n)), math.ceil(place(n))) if n and 0 <= place(n) <= n - 1 else ())
+        held = (table, repr(args[0]))
+        if held not in book.places:  # ranges and counts serve all percentiles of a column
+            book.places[held] = Places(frame(args[0]).select("v0"), "v0")
+        n = book.places[held].total
+        found = book.places[held].at((math.floor(place(n)), math.ceil(place(n)))) if n and 0 <= place(n) <= n - 1 else {}
         if not found:
             return Reduction(table, [F.lit(1)], lambda cols: literal(Error(NUM)))
         low, high = found[math.floor(place(n))], found[math.ceil(place(n))]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..formula.nodes import Literal, NameRef, Node, TableRef
 from ..formula.parser import parse
 from ..functions import REGISTRY, register_custom, unregister_custom
-from ..operators.order import Key
+from ..operators.order import Key, Places
 from . import columns as C
 from .columns import Ex, Unsupported
 from .relations import Compiler
@@ -47,6 +47,7 @@ class Book:
         self.names: dict[str, object] = {}
         self._frames: dict[str, DataFrame] = {}
         self._kinds: dict[str, dict[str, T.DataType]] = {}
+        self.places: dict[tuple[str, str], Places] = {}
 
     # -- definitions
 
@@ -54,11 +55,12 @@ class Book:
         """order: columns (or pairs of column and ascending) whose order is the order of the rows."""
         keys = [(k, True) if isinstance(k, str) else k for k in order]
         self.tables[name.lower()] = Table(df, keys, hidden=hidden)
-        self._frames.clear()
+        self.changed()
         return self
 
     def name(self, name: str, value: object) -> Book:
         """A constant, or the text of a formula."""
+        self.changed()
         self.names[name.lower()] = parse(value) if isinstance(value, str) and value.startswith("=") else Literal(value) if not isinstance(value, Node) else value
         return self
 
@@ -68,9 +70,13 @@ class Book:
         t.formulas[name] = parse(formula)
         if anchor is not None:
             t.anchors[name] = anchor
-        self._frames.clear()
+        self.changed()
         return self
 
+    def changed(self) -> None:
+        self._frames.clear()
+        self.places.clear()
+
     def register(self, name: str, call: Callable[..., object], least: int = 0, most: int | None = None, returns: str = "num", volatile: bool = False, override: bool = False) -> Book:
         """A function of the user's; over rows it runs in Arrow batches."""
         register_custom(name, call, least, most, volatile, override)

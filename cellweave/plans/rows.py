@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..formula.nodes import ArrayLiteral, Binary, Call, CellRef, ErrorLiteral, Invoke, Literal, NameRef, Node, Omitted, RangeRef, TableRef, Unary
@@ -26,6 +26,9 @@ from .criteria import predicate
 #: Reductions of FILTER(column, tests) and the criteria aggregates that say the same.
 FILTERED = {"SUM": "SUMIFS", "AVERAGE": "AVERAGEIFS", "MAX": "MAXIFS", "MIN": "MINIFS", "COUNT": "COUNTIFS", "COUNTA": "COUNTIFS", "ROWS": "COUNTIFS"}
 
+#: Reductions of FILTER that have no such aggregate, with how many arguments they have then.
+GATHERED = {"MEDIAN": 1, "LARGE": 2, "SMALL": 2, "TEXTJOIN": 3, "STDEV.S": 1, "STDEV.P": 1, "VAR.S": 1, "VAR.P": 1, "PRODUCT": 1}
+
 
 @dataclass
 class Step:
@@ -47,6 +50,7 @@ class Rows:
         self.book, self.table, self.anchor = book, table, anchor
         self.steps: dict[object, Step] = {}
         self.found: dict[object, str] = {}
+        self.base: DataFrame | None = None
         self.count = 0
 
     # -- plumbing
@@ -61,6 +65,7 @@ class Rows:
         return self.steps[key]
 
     def applied(self, df: DataFrame) -> DataFrame:
+        self.base = df
         for step in list(self.steps.values()):
             df = step.apply(df, step.wants)
         return df
@@ -178,6 +183,11 @@ class Rows:
                 n = self.on_call(Call("COUNTIFS", tests), names)
                 got = n if FILTERED[name] == "COUNTIFS" else self.on_call(Call(FILTERED[name], (args[0].args[0], *tests)), names)
                 return Ex(got.kind, got.col, C.errors(C.flag("#CALC!", n.col == 0), got))
+        at = 2 if name == "TEXTJOIN" else 0
+        if name in GATHERED and len(args) == GATHERED[name] and isinstance(args[at], Call) and args[at].name == "FILTER" and len(args[at].args) == 2 and self.row_bound(args[at], names):
+            tests = self.equalities(args[at].args[1])
+            if tests is not None:
+                return self.filter_reduce(name, args[at].args[0], tests, args[:at] + args[at + 1 :], names)
         whole = [a for a in args if self.is_range(a)]
         if name in A.CRITERIA and whole and any(self.row_bound(a, names) for a in args):
             return self.group_join(name, args, names)
@@ -270,10 +280,8 @@ class Rows:
 
     # -- criteria that depend on the row
 
-    def group_join(self, name: str, args: tuple[Node, ...], names: dict) -> Ex:
-        target, pairs = A.criteria_pairs(name, args)
-        table = self.book.table_of([a for a, _ in pairs] + ([target] if target is not None else []))
-        array = self.array_over(table, names)
+    def split_criteria(self, array: Callable[[Node], Ex], pairs: list[tuple[Node, Node]], names: dict) -> tuple[list, list, Column]:
+        """Equalities with the row, inequalities with it, and what holds for all rows alike."""
         keys, bounds, where = [], [], F.lit(True)
         for area, crit in pairs:
             x = array(area)
@@ -284,16 +292,73 @@ class Rows:
                 (keys if crit.left.value == "=" else bounds).append((x, mine) if crit.left.value == "=" else (x, mine, crit.left.value))
             else:
                 keys.append((x, self.compile(crit, names)))
+        return keys, bounds, where
+
+    def same_key(self, x: Ex, y: Ex) -> tuple[Column, Column]:
+        if x.kind == "text":
+            return F.lower(F.coalesce(x.col, F.lit(""))), F.lower(C.txt(y).col)
+        return F.coalesce(A.lane(x) if x.kind != "bool" else x.col.cast("double"), F.lit(0.0)), C.num(y).col
+
+    def filter_reduce(self, name: str, target: Node, tests: list[tuple[Node, Node]], rest: tuple[Node, ...], names: dict) -> Ex:
+        """MEDIAN, LARGE, SMALL, TEXTJOIN and kin of the rows of another table that agree with this one.
+
+        One row a key is joined. LARGE and SMALL rank within the key and keep one place, which Spark cuts before
+        the shuffle; TEXTJOIN gathers what it returns.
+        """
+        table = self.book.table_of([a for a, _ in tests] + [target])
+        array = self.array_over(table, names)
+        keys, bounds, where = self.split_criteria(array, tests, names)
+        if bounds or not keys:
+            raise Unsupported(f"{name} of FILTER with these tests")
+        x, pairs = array(target), [self.same_key(a, b) for a, b in keys]
+        out, n, tag = self.fresh(), self.fresh(), self.fresh()
+        k = int(A.number_of(rest[0])) if name in ("LARGE", "SMALL") else 0
+        order_ = [F.col(f"`{c}`").alias(f"o{i}") for i, (c, _) in enumerate(self.book.tables[table].order)]
+
+        def join(df: DataFrame, wants: dict) -> DataFrame:
+            right = self.book.frame(table).where(where).select(*[r.alias(f"{tag}{i}r") for i, (r, _) in enumerate(pairs)], (C.txt(x).col if name == "TEXTJOIN" else A.lane(x)).alias("v"), F.struct(*order_, F.lit(0).alias("o")).alias("at"))
+            by = [F.col(f"{tag}{i}r") for i in range(len(pairs))]
+            if name in ("LARGE", "SMALL"):
+                place = Window.partitionBy(*by).orderBy(F.desc("v") if name == "LARGE" else F.asc("v"))
+                hit = right.where("v is not null").withColumn("i", F.row_number().over(place)).where(F.col("i") <= max(k, 1)).where(F.col("i") == k).select(*by, F.col("v").alias(out))
+                held = right.groupBy(*by).agg(F.count(F.lit(1)).alias(n)).join(hit.withColumnsRenamed({f"{tag}{i}r": f"{tag}{i}h" for i in range(len(pairs))}), self.agree(tag, "r", "h", len(pairs)), "left").drop(*[f"{tag}{i}h" for i in range(len(pairs))])
+            else:
+                held = right.groupBy(*by).agg(self.gathered(name, rest).alias(out), F.count(F.lit(1)).alias(n))
+            left = df.withColumns({f"{tag}{i}l": c for i, (_, c) in enumerate(pairs)})
+            return left.join(held, self.agree(tag, "l", "r", len(pairs)), "left").drop(*[f"{tag}{i}{s}" for i in range(len(pairs)) for s in "lr"])
+
+        self.step(("filter", out), join)
+        empty = C.flag("#CALC!", F.col(n).isNull())
+        if name == "TEXTJOIN":
+            return Ex("text", F.col(out), empty)
+        none = C.flag("#DIV/0!" if name in ("STDEV.S", "STDEV.P", "VAR.S", "VAR.P") else "#NUM!", F.col(out).isNull())
+        return Ex("num", F.col(out), F.coalesce(empty, none))
+
+    def agree(self, tag: str, one: str, two: str, n: int) -> Column:
+        on = F.lit(True)
+        for i in range(n):
+            on = on & (F.col(f"{tag}{i}{one}") == F.col(f"{tag}{i}{two}"))
+        return on
+
+    def gathered(self, name: str, rest: tuple[Node, ...]) -> Column:
+        if name == "TEXTJOIN":
+            delimiter, skip = A.constant(rest[0]), bool(A.constant(rest[1]))
+            kept = F.when(~F.lit(skip) | (F.coalesce("v", F.lit("")) != ""), F.struct("at", F.coalesce("v", F.lit("")).alias("v")))
+            return F.array_join(F.transform(F.sort_array(F.collect_list(kept)), lambda e: e["v"]), str(delimiter))
+        return {"MEDIAN": F.percentile("v", 0.5), "STDEV.S": F.stddev_samp("v"), "STDEV.P": F.stddev_pop("v"), "VAR.S": F.var_samp("v"), "VAR.P": F.var_pop("v"), "PRODUCT": F.product("v")}[name]
+
+    def group_join(self, name: str, args: tuple[Node, ...], names: dict) -> Ex:
+        target, pairs = A.criteria_pairs(name, args)
+        table = self.book.table_of([a for a, _ in pairs] + ([target] if target is not None else []))
+        array = self.array_over(table, names)
+        keys, bounds, where = self.split_criteria(array, pairs, names)
         v = A.lane(array(target)) if target is not None else F.lit(1.0)
-        if len(bounds) > 1 or bounds and name in ("MAXIFS", "MINIFS"):
+        extreme = {"MAXIFS": "max", "MINIFS": "min"}.get(name)
+        upper = [b for b in bounds if b[2] in ("<", "<=")]
+        if len(bounds) > 2 or len(bounds) == 2 and (extreme or len(upper) != 1 or str(bounds[0][0].col) != str(bounds[1][0].col)):
             raise Unsupported(f"{name} with these criteria")
 
-        def same(x: Ex, y: Ex) -> tuple[Column, Column]:
-            if x.kind == "text":
-                return F.lower(F.coalesce(x.col, F.lit(""))), F.lower(C.txt(y).col)
-            return F.coalesce(A.lane(x) if x.kind != "bool" else x.col.cast("double"), F.lit(0.0)), C.num(y).col
-
-        pairs_ = [same(x, y) for x, y in keys]
+        pairs_ = [self.same_key(x, y) for x, y in keys]
         key = ("group", table, tuple(map(repr, [p[0] for p in A.criteria_pairs(name, args)[1]])), tuple(repr(c) for _, c in A.criteria_pairs(name, args)[1]))
         right_keys = [r for r, _ in pairs_]
         left_keys = [r for _, r in pairs_]
@@ -319,33 +384,42 @@ class Rows:
             step.wants.update({total: agg, n: F.count(v)})
             return self.conditional(name, F.col(total), F.col(n))
 
-        # one inequality: running totals by key, then the nearest one
-        x, mine, op = bounds[0]
-        total, n = self.fresh(), self.fresh()
-        bound = C.num(mine).col if x.kind not in ("date", "time") or mine.kind == "num" else (C.serial_of_date if mine.kind == "date" else C.serial_of_time)(mine.col)
-
-        def totals(df: DataFrame, wants: dict) -> DataFrame:
-            from pyspark.sql import Window
-
+        # an inequality: running totals along the column, then the nearest of them; between two bounds the
+        # difference of two such totals
+        def upto(x: Ex, bound: Column, op: str) -> tuple[Column, Column]:
+            total, n = self.fresh(), self.fresh()
             upward = op in ("<", "<=")
-            part = F.concat_ws("\x1f", *[r.cast("string") for r in right_keys]) if right_keys else F.lit("")
-            own = F.concat_ws("\x1f", *[r.cast("string") for r in left_keys]) if left_keys else F.lit("")
-            sums = frame().select(part.alias("p"), A.lane(x).alias("k"), v.alias("v")).where("k is not null").groupBy("p", "k").agg(F.sum("v").alias("s"), F.count("v").alias("c"))
-            if right_keys:
-                w = Window.partitionBy("p").orderBy(F.col("k") if upward else F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-                sums = sums.select("p", "k", F.sum("s").over(w).alias("s"), F.sum("c").over(w).alias("c"))
-            else:
-                ranged = order.ranges(sums, [("k", upward)])
-                start = order.carried(ranged, [F.sum("s"), F.sum("c")], ["s0", "c0"])
-                w = Window.partitionBy("__range").orderBy(F.col("k") if upward else F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-                sums = ranged.join(F.broadcast(start), "__range").select("p", "k", (F.sum("s").over(w) + F.col("s0")).alias("s"), (F.sum("c").over(w) + F.col("c0")).alias("c"))
-            # strict bounds look just beside the key
-            shift = {"<=": bound, ">=": bound, "<": bound - F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15, ">": bound + F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15}[op]
-            got = lookup.nearest(df, shift, sums, F.col("k"), {total: F.col("s"), n: F.col("c")}, larger=not upward, partition=(own, F.col("p")) if right_keys else None)
-            return got.drop("__found")
-
-        self.step((*key, op, total), totals)
-        return self.conditional(name, F.col(total), F.col(n))
+
+            def totals(df: DataFrame, wants: dict) -> DataFrame:
+                part = F.concat_ws("\x1f", *[r.cast("string") for r in right_keys]) if right_keys else F.lit("")
+                own = F.concat_ws("\x1f", *[r.cast("string") for r in left_keys]) if left_keys else F.lit("")
+                fold = {"max": F.max, "min": F.min}.get(extreme, F.sum)
+                rows = frame().select(part.alias("__part"), A.lane(x).alias("__k"), v.alias("v")).where("__k is not null")
+                by = ([("__part", True)] if right_keys else []) + [("__k", upward)]
+                cut = order.cutter(rows.select("__part", "__k"), by)
+                sums = rows.groupBy("__part", "__k").agg(fold("v").alias("s"), F.count("v").alias("c"))
+                sums = order.running_within(sums, "__part", ("__k", upward), {"s": extreme or "sum", "c": "sum"}, cut[0])
+                # strict bounds look just beside the key
+                shift = {"<=": bound, ">=": bound, "<": bound - F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15, ">": bound + F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15}[op]
+                got = lookup.nearest(df, shift, sums, F.col("__k"), {total: F.col("s"), n: F.col("c")}, larger=not upward, partition=(own, F.col("__part")) if right_keys else None, base=self.base, cut=cut if table == self.table else None)
+                return got.drop("__found")
+
+            self.step((*key, op, total), totals)
+            return F.col(total), F.col(n)
+
+        def value_of(x: Ex, mine: Ex) -> Column:
+            return C.num(mine).col if x.kind not in ("date", "time") or mine.kind == "num" else (C.serial_of_date if mine.kind == "date" else C.serial_of_time)(mine.col)
+
+        if len(bounds) == 1:
+            x, mine, op = bounds[0]
+            return self.conditional(name, *upto(x, value_of(x, mine), op))
+        (x, high, high_op), (_, low, low_op) = sorted(bounds, key=lambda b: b[2] not in ("<", "<="))
+        high, low = value_of(x, high), value_of(x, low)
+        (s1, n1), (s0, n0) = upto(x, high, high_op), upto(x, low, {">": "<=", ">=": "<"}[low_op])
+        some = (low <= high) if (high_op, low_op) == ("<=", ">=") else low < high
+        minus = lambda a, b: F.when(some, F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))).otherwise(F.lit(0))
+        count = minus(n1, n0)
+        return self.conditional(name, F.when(count > 0, minus(s1, s0)), count)
 
     def conditional(self, name: str, total: Column, n: Column) -> Ex:
         if name.startswith("COUNT"):
@@ -420,7 +494,7 @@ class Rows:
             left_key, right_key = (F.lower(C.txt(x).col), F.lower(k.col)) if k.kind == "text" else (C.num(x).col, A.lane(k))
 
             def join(df: DataFrame, wants: dict) -> DataFrame:
-                return lookup.nearest(df, left_key, right(), right_key, wants, larger=mode == 1).withColumnRenamed("__found", found_name)
+                return lookup.nearest(df, left_key, right(), right_key, wants, larger=mode == 1, base=self.base).withColumnRenamed("__found", found_name)
 
         found_name = self.found.setdefault(step_key, found)
         step = self.step(step_key, join)
@@ -465,9 +539,9 @@ class Rows:
         out, value = self.fresh(), self.fresh()
 
         def join(df: DataFrame, wants: dict) -> DataFrame:
-            return order.ranked(df.withColumn(value, A.lane(column)), value, not ascending, out, name == "RANK.AVG").drop(value)
+            return order.ranked(df.withColumn(value, A.lane(column)), value, wants).drop(value)
 
-        self.step(("rank", out), join)
+        self.step(("rank", area.first.lower()), join).wants[out] = (not ascending, name == "RANK.AVG")
         if not name.startswith("PERCENT"):
             return Ex("num", F.col(out), C.flag(NA, F.col(out).isNull()))
         digits = int(A.number_of(args[2])) if len(args) > 2 else 3
@@ -488,10 +562,13 @@ class Rows:
         if shift == 0:
             return x
         out = self.fresh()
-        step = self.step(("frame", shift, shift), lambda df, wants: order.framed(df, self.book.order_of(self.table), shift, shift, wants))
-        step.wants[out] = lambda w, c=x.col: F.first(c).over(w)
+        self.frames().wants[out] = (shift, shift, lambda w, c=x.col: F.first(c).over(w))
         return Ex(x.kind, F.col(out))
 
+    def frames(self) -> Step:
+        """The step of all frames around the row: rows are numbered once."""
+        return self.step(("frame",), lambda df, wants: order.framed(df, self.book.order_of(self.table), wants))
+
     def on_rangeref(self, node: RangeRef, names: dict) -> Ex:
         raise Unsupported("a range where one value is wanted")
 
@@ -505,12 +582,11 @@ class Rows:
         if r.absolute[0] and not r.absolute[2]:
             if r.row2 != self.anchor or r.row1 != self.anchor:
                 raise Unsupported("a growing range must begin and end in the anchor row")
-            self.step(("running", out), lambda df, wants: order.running(df, self.book.order_of(self.table), v, name, out))
+            self.step(("running",), lambda df, wants: order.running(df, self.book.order_of(self.table), wants)).wants[out] = (v, name)
             return Ex("num", F.col(out), C.flag("#DIV/0!", F.col(out).isNull()) if name == "AVERAGE" else None)
         low, high = r.row1 - self.anchor, r.row2 - self.anchor
-        step = self.step(("frame", low, high), lambda df, wants: order.framed(df, self.book.order_of(self.table), low, high, wants))
         agg = {"SUM": F.sum, "AVERAGE": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count}[name]
-        step.wants[out] = lambda w: agg(v).over(w)
+        self.frames().wants[out] = (low, high, lambda w: agg(v).over(w))
         if name == "AVERAGE":
             return Ex("num", F.col(out), C.flag("#DIV/0!", F.col(out).isNull()))
         return Ex("num", F.coalesce(F.col(out).cast("double"), F.lit(0.0)))

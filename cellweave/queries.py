@@ -190,7 +190,7 @@ def _big(b: Book) -> None:
     b.table("big", b.frame("orders").where("o_orderstatus='P' and o_totalprice>400000"), ["o_orderkey"])
 
 
-spill("anti_match", "=FILTER(customer[c_custkey],ISNA(MATCH(customer[c_custkey],big[o_custkey],0)))", ("customer", "orders"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus='P' and o_totalprice>400000)", prepare=_big)
+spill("anti_match", "=FILTER(customer[c_custkey],ISNA(MATCH(customer[c_custkey],orders[o_custkey],0)))", ("customer", "orders"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
 
 # -- criteria that depend on the row --------------------------------------------------------
 
@@ -201,6 +201,12 @@ rows("filter_per_row", "customer", {"s": '=IFERROR(ROUND(SUM(FILTER(orders[o_tot
      "select c_custkey, coalesce(round(sum(o_totalprice) filter (where o_orderstatus='F'),2),-1) as s, count(o_orderkey)::double as n from customer left join orders on o_custkey=c_custkey group by 1", more=("orders",))
 rows("countif_below", "customer", {"n": '=COUNTIF(customer[c_acctbal],"<="&[@c_acctbal])', "g": '=COUNTIFS(customer[c_mktsegment],[@c_mktsegment],customer[c_acctbal],">"&[@c_acctbal])'}, ["c_custkey"],
      "select c_custkey, count(*) over (order by c_acctbal range unbounded preceding)::double as n, (rank() over (partition by c_mktsegment order by c_acctbal desc)-1)::double as g from customer")
+rows("countifs_between", "customer", {"n": '=COUNTIFS(orders[o_totalprice],">="&[@c_acctbal]*10,orders[o_totalprice],"<"&[@c_acctbal]*10+5000)', "s": '=ROUND(SUMIFS(orders[o_totalprice],orders[o_totalprice],">"&[@c_acctbal]*10,orders[o_totalprice],"<="&[@c_acctbal]*10+5000),2)', "g": '=COUNTIFS(customer[c_mktsegment],[@c_mktsegment],customer[c_acctbal],">"&[@c_acctbal]-500,customer[c_acctbal],"<"&[@c_acctbal])'}, ["c_custkey"],
+     "select c.c_custkey, (select count(*) from orders where o_totalprice>=c_acctbal*10 and o_totalprice<c_acctbal*10+5000)::double as n, (select round(coalesce(sum(o_totalprice),0),2) from orders where o_totalprice>c_acctbal*10 and o_totalprice<=c_acctbal*10+5000) as s, (select count(*) from customer d where d.c_mktsegment=c.c_mktsegment and d.c_acctbal>c.c_acctbal-500 and d.c_acctbal<c.c_acctbal)::double as g from customer c", more=("orders",))
+rows("maxifs_bound", "customer", {"m": '=MAXIFS(orders[o_totalprice],orders[o_totalprice],"<="&[@c_acctbal]*20)', "l": '=MINIFS(orders[o_totalprice],orders[o_custkey],[@c_custkey],orders[o_totalprice],">"&[@c_acctbal]*10)'}, ["c_custkey"],
+     "select c_custkey, (select coalesce(max(o_totalprice),0) from orders where o_totalprice<=c_acctbal*20) as m, (select coalesce(min(o_totalprice),0) from orders where o_custkey=c_custkey and o_totalprice>c_acctbal*10) as l from customer", more=("orders",))
+rows("filter_reductions", "customer", {"md": "=IFERROR(MEDIAN(FILTER(orders[o_totalprice],orders[o_custkey]=[@c_custkey])),-1)", "l2": "=IFERROR(LARGE(FILTER(orders[o_totalprice],orders[o_custkey]=[@c_custkey]),2),-1)", "s1": '=IFERROR(SMALL(FILTER(orders[o_totalprice],(orders[o_custkey]=[@c_custkey])*(orders[o_orderstatus]="O")),1),-1)', "tj": '=IFERROR(TEXTJOIN("-",TRUE,FILTER(orders[o_orderstatus],orders[o_custkey]=[@c_custkey])),"none")', "sd": "=IFERROR(ROUND(STDEV.S(FILTER(orders[o_totalprice],orders[o_custkey]=[@c_custkey])),3),-1)"}, ["c_custkey"],
+     "with o as (select *, row_number() over (partition by o_custkey order by o_totalprice desc) r from orders) select c_custkey, coalesce(median(o_totalprice),-1) as md, coalesce(max(o_totalprice) filter (where r=2),-1) as l2, coalesce(min(o_totalprice) filter (where o_orderstatus='O'),-1) as s1, coalesce(string_agg(o_orderstatus,'-' order by o_orderkey),'none') as tj, coalesce(round(stddev_samp(o_totalprice),3),-1) as sd from customer left join o on o_custkey=c_custkey group by 1", more=("orders",))
 rows("share_of_total", "customer", {"share": "=[@c_acctbal]/SUM(customer[c_acctbal])", "gap": "=[@c_acctbal]-AVERAGE(customer[c_acctbal])"}, ["c_custkey"], "select c_custkey, c_acctbal/(select sum(c_acctbal) from customer) as share, c_acctbal-(select avg(c_acctbal) from customer) as gap from customer")
 
 # -- windows --------------------------------------------------------------------------------
@@ -225,7 +231,7 @@ spill("filter_empty", '=FILTER(nation[n_name],nation[n_nationkey]>1000,"nothing"
 spill("unique_rows", "=UNIQUE(orders[[o_orderstatus]:[o_orderstatus]])", ("orders",), "select distinct o_orderstatus from orders")
 spill("unique_pairs", "=UNIQUE(CHOOSECOLS(orders,3,6))", ("orders",), "select distinct o_orderstatus, o_orderpriority from orders")
 spill("unique_once", "=UNIQUE(orders[o_custkey],FALSE,TRUE)", ("orders",), "select o_custkey from orders group by 1 having count(*)=1")
-spill("count_distinct", "=ROWS(orders[o_orderkey])", ("orders",), "select count(*)::double as value from orders")
+spill("count_distinct", "=ROWS(UNIQUE(orders[o_custkey]))", ("orders",), "select count(distinct o_custkey)::double as value from orders")
 spill("top_k", "=TAKE(SORT(CHOOSECOLS(orders,1,4),2,-1),10)", ("orders",), "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10")
 spill("bottom_rows", "=TAKE(customer[[c_custkey]:[c_name]],-5)", ("customer",), "select c_custkey, c_name from customer order by c_custkey desc limit 5")
 spill("drop_rows", "=DROP(customer[[c_custkey]:[c_name]],10)", ("customer",), "select c_custkey, c_name from customer order by c_custkey offset 10")
@@ -233,7 +239,7 @@ spill("choose_rows", "=CHOOSEROWS(customer[[c_custkey]:[c_name]],1,3,-1)", ("cus
 spill("sort_rows", "=SORT(supplier[[s_suppkey]:[s_name]],2,-1)", ("supplier",), "select s_suppkey, s_name from supplier")
 spill("sortby_take", "=TAKE(SORTBY(CHOOSECOLS(customer,1,5),customer[c_mktsegment],1,customer[c_acctbal],-1),20)", ("customer",), "select c_custkey, c_mktsegment from customer order by lower(c_mktsegment), c_acctbal desc, c_custkey limit 20")
 spill("vstack", "=VSTACK(customer[c_name],supplier[s_name])", ("customer", "supplier"), "select c_name as name from customer union all select s_name from supplier", ["name"])
-spill("hstack", "=HSTACK(TAKE(customer[c_name],10),TAKE(part[p_name],10))", ("customer", "part"), "select c_name, p_name from (select c_name, row_number() over (order by c_custkey) r from customer) a join (select p_name, row_number() over (order by p_partkey) r from part) b using (r) where r<=10")
+spill("hstack", "=HSTACK(customer[c_name],part[p_name])", ("customer", "part"), "select c_name, p_name from (select c_name, row_number() over (order by c_custkey) r from customer) a full join (select p_name, row_number() over (order by p_partkey) r from part) b using (r)")
 spill("tocol", "=TOCOL(nation[[n_nationkey]:[n_name]])", ("nation",), "select n_nationkey::varchar as value from nation union all select n_name from nation")
 spill("transpose", "=TRANSPOSE(region[[r_regionkey]:[r_regionkey]])", ("region",), "select * from (select 0 as c1, 1 as c2, 2 as c3, 3 as c4, 4 as c5)")
 spill("sequence", "=SEQUENCE(100,1,5,3)", ("region",), "select (5+3*i)::double as value from range(100) t(i)")
