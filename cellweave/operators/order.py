@@ -97,14 +97,18 @@ def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Colum
             same = same & (c == F.lit(v))
         return same
 
+    def beyond(level: int) -> int:
+        return width - 1 if level and parts[level - 1][1] else 0
+
     for level, (value, up) in enumerate(parts[:3]):
         levels.append({path: sorted(set(found)) for path, found in cuts.items()})
-        here = F.lit(0)
+        # a row that shares a range with a heavy value without having it lies beyond that value
+        here = F.lit(beyond(level))
         for path, found in cuts.items():
             bounds = F.array(*[F.lit(float(x)) for x in sorted(set(found))])
             mine = F.when(value.isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= value)) + 1) if found else F.lit(0)
-            here = F.when(on(path, [c for c, _ in parts]), mine).otherwise(here)
-        place = place * width + (here if up else width - 1 - here)
+            here = F.when(on(path, [c for c, _ in parts]), mine if up else width - 1 - mine).otherwise(here)
+        place = place * width + here
         # integers beyond 2^53 may differ where their doubles agree
         heavy = {(*path, v): k for path, found in cuts.items() for v, k in Counter(found).items() if k > 1 and abs(v) < 2**53}
         if not heavy or level + 1 == min(len(parts), 3):
@@ -122,13 +126,12 @@ def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Colum
         if level == len(levels):
             return {0}
         found = levels[level].get(path) if path is not None else None
-        out = set()
-        for j in range(1 if found is None else len(found) + 2):
-            rest = every(level + 1, None)
-            if j > 1:
-                rest = rest | every(level + 1, (*path, found[j - 2]))
+        unit, other, out = width ** (len(levels) - 1 - level), every(level + 1, None), set()
+        if found is None:
+            return {beyond(level) * unit + r for r in other}
+        for j in range(len(found) + 2):
             here = j if parts[level][1] else width - 1 - j
-            out |= {here * width ** (len(levels) - 1 - level) + r for r in rest}
+            out |= {here * unit + r for r in (other | every(level + 1, (*path, found[j - 2])) if j > 1 else other)}
         return out
 
     return place, sorted(every(0, ()))
