@@ -192,6 +192,13 @@ def _big(b: Book) -> None:
 
 spill("anti_match", "=FILTER(customer[c_custkey],ISNA(MATCH(customer[c_custkey],orders[o_custkey],0)))", ("customer", "orders"), "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
 
+scalars("more_reductions", {"va": "=VARA(part[p_size])", "vpa": "=VARPA(part[p_size])", "spa": "=STDEVPA(part[p_size])", "cs": "=COVARIANCE.S(lineitem[l_discount],lineitem[l_tax])", "pe": "=PEARSON(lineitem[l_extendedprice],lineitem[l_quantity])", "d": "=SUMX2MY2(lineitem[l_quantity],lineitem[l_tax])", "p": "=SUMX2PY2(lineitem[l_quantity],lineitem[l_tax])", "x": "=SUMXMY2(lineitem[l_quantity],lineitem[l_tax])"}, ("part", "lineitem"),
+        "select round(var_samp(p_size),4) as va, round(var_pop(p_size),4) as vpa, round(stddev_pop(p_size),4) as spa, (select round(covar_samp(l_discount,l_tax),4) from lineitem) as cs, (select round(corr(l_extendedprice,l_quantity),4) from lineitem) as pe, (select round(sum(l_quantity*l_quantity-l_tax*l_tax),4) from lineitem) as d, (select round(sum(l_quantity*l_quantity+l_tax*l_tax),4) from lineitem) as p, (select round(sum((l_quantity-l_tax)*(l_quantity-l_tax)),4) from lineitem) as x from part", 4)
+rows("more_rounding", "part", {"cm": "=CEILING.MATH([@p_retailprice],7)", "fm": "=FLOOR.MATH([@p_retailprice],7)", "cp": "=CEILING.PRECISE([@p_retailprice]-1200,5)", "fp": "=FLOOR.PRECISE([@p_retailprice]-1200,5)", "ic": "=ISO.CEILING([@p_retailprice],3)", "at": "=ROUND(ATAN([@p_size]/10),8)", "pi": "=ROUND(PI()*[@p_size],6)", "lg": "=IF(ISLOGICAL([@p_size]>10),1,0)", "nt": "=IF(ISNONTEXT([@p_name]),1,0)", "er": "=IF(ISERR(1/([@p_size]-10)),1,0)"}, ["p_partkey"],
+     "select p_partkey, ceil(p_retailprice/7)*7 as cm, floor(p_retailprice/7)*7 as fm, ceil((p_retailprice-1200)/5)*5 as cp, floor((p_retailprice-1200)/5)*5 as fp, ceil(p_retailprice/3)*3 as ic, round(atan(p_size/10.0),8) as at, round(pi()*p_size,6) as pi, 1.0::double as lg, 0.0::double as nt, (case when p_size=10 then 1 else 0 end)::double as er from part")
+rows("more_lookups", "orders", {"xm": "=IFNA(XMATCH([@o_custkey],customer[c_custkey]),0)", "lk": "=LOOKUP([@o_custkey],customer[c_custkey],customer[c_name])"}, ["o_orderkey"],
+     "with c as (select *, row_number() over (order by c_custkey) r from customer) select o_orderkey, coalesce(r,0)::double as xm, c_name as lk from orders left join c on c_custkey=o_custkey", more=("customer",))
+
 # -- criteria that depend on the row --------------------------------------------------------
 
 rows("countifs_correlated", "customer", {"n": "=COUNTIFS(orders[o_custkey],[@c_custkey])"}, ["c_custkey"], "select c_custkey, coalesce(n,0)::double as n from customer left join (select o_custkey,count(*) n from orders group by 1) on o_custkey=c_custkey", more=("orders",))
