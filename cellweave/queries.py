@@ -113,8 +113,10 @@ rows("networkdays", "orders", {"n": "=NETWORKDAYS([@o_orderdate],DATE(2003,3,31)
 rows("finance", "orders", {"pmt": "=PMT(0.05/12,60,-[@o_totalprice])", "fv": "=FV(0.04/12,24,-100,-[@o_totalprice])", "pv": "=PV(0.03,10,0,-[@o_totalprice])", "ip": "=IPMT(0.05/12,3,60,[@o_totalprice])", "pp": "=PPMT(0.05/12,3,60,[@o_totalprice])", "sln": "=SLN([@o_totalprice],1000,10)", "syd": "=SYD([@o_totalprice],1000,10,2)", "ef": "=EFFECT(0.05,12)"}, ["o_orderkey"],
      "select o_orderkey, o_totalprice*(0.05/12)/(1-pow(1+0.05/12,-60)) as pmt, o_totalprice*pow(1+0.04/12,24)+100*(pow(1+0.04/12,24)-1)/(0.04/12) as fv, o_totalprice/pow(1.03,10) as pv, -(o_totalprice*pow(1+0.05/12,2)-o_totalprice*(0.05/12)/(1-pow(1+0.05/12,-60))*(pow(1+0.05/12,2)-1)/(0.05/12))*0.05/12 as ip, -o_totalprice*(0.05/12)/(1-pow(1+0.05/12,-60))+(o_totalprice*pow(1+0.05/12,2)-o_totalprice*(0.05/12)/(1-pow(1+0.05/12,-60))*(pow(1+0.05/12,2)-1)/(0.05/12))*0.05/12 as pp, (o_totalprice-1000)/10 as sln, (o_totalprice-1000)*9*2/110 as syd, pow(1+0.05/12,12)-1 as ef from orders")
 rows("let_lambda", "orders", {"x": "=LET(r,0.1,p,[@o_totalprice],p*(1+r))", "y": "=LAMBDA(a,b,a*b+1)([@o_orderkey],2)"}, ["o_orderkey"], "select o_orderkey, o_totalprice*(1+0.1::double) as x, o_orderkey*2.0::double+1 as y from orders")
-rows("distributions", "part", {"n": "=NORM.DIST([@p_size],25,10,TRUE)", "z": "=NORM.S.INV(([@p_size]+1)/60)", "t": "=T.DIST.2T([@p_size]/20,10)", "c": "=CHISQ.DIST.RT([@p_size],8)", "b": "=BINOM.DIST(MOD([@p_size],10),10,0.4,FALSE)", "e": "=ERF([@p_size]/50)", "j": "=BESSELJ([@p_size]/10,1)", "g": "=GAMMALN([@p_size]+1)"}, ["p_partkey"], None)
-rows("yield_rate", "part", {"r": "=RATE(48,-50,[@p_retailprice])", "y": "=YIELD(DATE(2024,3,1),DATE(2026,3,1),0.05,90+MOD([@p_size],20),100,2)", "c": '=IMABS(COMPLEX([@p_size],3))', "v": '=CONVERT([@p_size],"km","mi")'}, ["p_partkey"], None)
+rows("distributions", "part", {"n": "=NORM.DIST([@p_size],25,10,FALSE)", "z": "=NORM.S.DIST(NORM.S.INV(([@p_size]+1)/60),TRUE)", "t": "=T.DIST.2T([@p_size]/20,2)", "c": "=CHISQ.DIST.RT([@p_size],8)", "b": "=BINOM.DIST(MOD([@p_size],10),10,0.4,FALSE)", "bc": "=BINOM.DIST(MOD([@p_size],2),10,0.4,TRUE)", "k": "=F.DIST.RT([@p_size],2,6)", "g": "=GAMMALN([@p_size]+1)"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size, p_size::double as n from part) select p_partkey, exp(-pow((n-25)/10,2)/2)/(10*sqrt(2*pi())) as n, (n+1)/60 as z, 1-(n/20)/sqrt(2+pow(n/20,2)) as t, exp(-n/2)*(1+n/2+pow(n/2,2)/2+pow(n/2,3)/6) as c, (factorial(10)/(factorial(p_size%10)*factorial(10-p_size%10)))::double*pow(0.4::double,p_size%10)*pow(0.6::double,10-p_size%10) as b, pow(0.6::double,10)+(p_size%2)*4*pow(0.6::double,9) as bc, pow(1+n/3,-3) as k, lgamma(n+1) as g from t")
+rows("yield_rate", "part", {"r": "=RATE(2,-55,[@p_retailprice]/10)", "y": "=PRICE(DATE(2024,3,1),DATE(2026,3,1),0.05,YIELD(DATE(2024,3,1),DATE(2026,3,1),0.05,90+MOD([@p_size],20),100,2),100,2)", "v": "=PV(RATE(48,-50,[@p_retailprice]),48,-50)"}, ["p_partkey"],
+     "select p_partkey, (55+sqrt(55*55+22*p_retailprice))/(p_retailprice/5)-1 as r, (90+p_size%20)::double as y, p_retailprice as v from part")
 
 rows("combinatorics", "part", {"p": "=PERMUT([@p_size]+3,2)", "ca": "=COMBINA([@p_size]+1,2)", "g": "=GCD([@p_partkey]+1,[@p_size]+1)", "l": "=LCM([@p_size]+1,6)", "fd": "=FACTDOUBLE(MOD([@p_size],4))", "ml": "=MULTINOMIAL(MOD([@p_size],4),2)", "ss": "=SERIESSUM([@p_size]/50,0,1,{1,2,3})", "sm": "=SUMSQ([@p_size],2)"}, ["p_partkey"],
      "select p_partkey, ((p_size+3)*(p_size+2))::double as p, ((p_size+2)*(p_size+1)/2)::double as ca, gcd(p_partkey+1,p_size+1)::double as g, lcm(p_size+1,6)::double as l, [1,1,2,3][p_size%4+1]::double as fd, [1,3,6,10][p_size%4+1]::double as ml, 1+2*(p_size/50.0::double)+3*pow(p_size/50.0::double,2) as ss, (p_size*p_size+4)::double as sm from part")
@@ -135,6 +137,33 @@ rows("finance_more", "orders", {"n": "=NPER(0.01,-[@o_totalprice],[@o_totalprice
 rows("text_more", "part", {"c": "=CHAR(65+MOD([@p_size],26))", "d": '=CODE([@p_name])', "v": '=VALUE("1"&[@p_size])', "nv": '=NUMBERVALUE([@p_size]&",5",",",".")', "cl": '=CLEAN([@p_name]&CHAR(9))', "fx": "=FIXED([@p_retailprice],1)", "dl": "=DOLLAR([@p_size])", "uc": "=UNICHAR(8364)", "un": "=UNICODE([@p_type])", "at": "=VALUETOTEXT([@p_name],1)", "ad": "=ADDRESS([@p_size]+1,2)", "sr": '=IFERROR(SEARCH("?o",[@p_name]),0)', "pc": '="5%"*[@p_size]'}, ["p_partkey"],
      "select p_partkey, chr(65+p_size%26) as c, ascii(p_name)::double as d, ('1'||p_size)::double as v, p_size+0.5::double as nv, p_name as cl, format('{:,.1f}', floor(p_retailprice*10+0.5)/10) as fx, '$'||p_size||'.00' as dl, '€' as uc, unicode(p_type)::double as un, '\"'||p_name||'\"' as at, '$B$'||(p_size+1) as ad, coalesce(nullif(instr(substr(p_name,2),'o'),0),0)::double as sr, p_size*0.05::double as pc from part")
 
+# -- rows: functions against closed forms and series ----------------------------------------
+
+rows("complex_more", "part", {"su": '=IMSUB(COMPLEX([@p_size]+1,2),"1-5i")', "dv": '=IMREAL(IMDIV(COMPLEX([@p_size],2),"1+i"))', "ex": "=IMREAL(IMEXP(COMPLEX([@p_size]/50,1)))", "ln": "=IMREAL(IMLN(COMPLEX([@p_size],3)))", "lg": "=IMREAL(IMLOG10(COMPLEX([@p_size],3)))", "l2": "=IMREAL(IMLOG2(COMPLEX([@p_size],3)))", "pw": "=IMREAL(IMPOWER(COMPLEX([@p_size],1),2))", "sq": "=IMREAL(IMSQRT(COMPLEX([@p_size],3)))", "si": "=IMREAL(IMSIN(COMPLEX([@p_size]/20,1)))", "co": "=IMREAL(IMCOS(COMPLEX([@p_size]/20,1)))", "ta": "=IMREAL(IMTAN(COMPLEX([@p_size]/20,1)))", "ct": "=IMREAL(IMCOT(COMPLEX([@p_size]/20,1)))", "cs": "=IMREAL(IMCSC(COMPLEX([@p_size]/20,1)))", "se": "=IMREAL(IMSEC(COMPLEX([@p_size]/20,1)))", "sh": "=IMREAL(IMSINH(COMPLEX([@p_size]/20,1)))", "ch": "=IMREAL(IMCOSH(COMPLEX([@p_size]/20,1)))", "sx": "=IMREAL(IMSECH(COMPLEX([@p_size]/20,1)))", "cx": "=IMREAL(IMCSCH(COMPLEX([@p_size]/20,1)))"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size::double as n, p_size/20.0::double as x from part) select p_partkey, n::bigint||'+7i' as su, (n+2)/2 as dv, exp(n/50)*cos(1) as ex, ln(n*n+9)/2 as ln, log10(n*n+9)/2 as lg, log2(n*n+9)/2 as l2, n*n-1 as pw, sqrt((sqrt(n*n+9)+n)/2) as sq, sin(x)*cosh(1) as si, cos(x)*cosh(1) as co, sin(2*x)/(cos(2*x)+cosh(2)) as ta, sin(2*x)/(cosh(2)-cos(2*x)) as ct, sin(x)*cosh(1)/(pow(sin(x),2)+pow(sinh(1),2)) as cs, cos(x)*cosh(1)/(pow(cos(x),2)+pow(sinh(1),2)) as se, sinh(x)*cos(1) as sh, cosh(x)*cos(1) as ch, cosh(x)*cos(1)/(pow(sinh(x),2)+pow(cos(1),2)) as sx, sinh(x)*cos(1)/(pow(sinh(x),2)+pow(sin(1),2)) as cx from t")
+rows("inverse_distributions", "part", {"b": "=BETA.INV([@p_size]/60,1,1)", "bi": "=BETAINV([@p_size]/60,2,1)", "bn": "=BINOM.INV(1,0.4,[@p_size]/53)", "cb": "=CRITBINOM(1,0.4,[@p_size]/53)", "ci": "=CHISQ.INV([@p_size]/60,2)", "cr": "=CHISQ.INV.RT([@p_size]/60,2)", "cl": "=CHIINV([@p_size]/60,2)", "fi": "=F.INV([@p_size]/60,2,2)", "fr": "=F.INV.RT([@p_size]/60,2,2)", "fl": "=FINV([@p_size]/60,2,2)", "gi": "=GAMMA.INV([@p_size]/60,1,3)", "gl": "=GAMMAINV([@p_size]/60,1,3)", "li": "=LOGNORM.INV(0.975,[@p_size]/20,0.5)", "ll": "=LOGINV(0.025,[@p_size]/20,0.5)", "ni": "=NORM.INV(0.975,[@p_size],3)", "nl": "=NORMINV(0.025,[@p_size],3)", "ns": "=NORMSINV(0.975)*[@p_size]", "nz": "=NORM.S.INV(0.025)*[@p_size]", "ti": "=T.INV([@p_size]/60,1)", "t2": "=T.INV.2T([@p_size]/60,1)", "tl": "=TINV([@p_size]/60,1)"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size::double as n, p_size/60.0::double as p, 1.959963984540054::double as z from part) select p_partkey, p as b, sqrt(p) as bi, (n/53>0.6)::int::double as bn, (n/53>0.6)::int::double as cb, -2*ln(1-p) as ci, -2*ln(p) as cr, -2*ln(p) as cl, p/(1-p) as fi, (1-p)/p as fr, (1-p)/p as fl, -3*ln(1-p) as gi, -3*ln(1-p) as gl, exp(n/20+z/2) as li, exp(n/20-z/2) as ll, n+3*z as ni, n-3*z as nl, z*n as ns, -z*n as nz, case when n=30 then 0 else tan(pi()*(p-0.5)) end as ti, tan(pi()*(0.5-p/2)) as t2, tan(pi()*(0.5-p/2)) as tl from t", ti="double")
+rows("distribution_tails", "part", {"ch": "=CHISQ.DIST([@p_size],2,TRUE)", "cd": "=CHIDIST([@p_size],2)", "br": "=BINOM.DIST.RANGE(4,0.3,MOD([@p_size],5))", "bl": "=BINOMDIST(MOD([@p_size],5),4,0.3,FALSE)", "el": "=EXPONDIST([@p_size],0.1,TRUE)", "fd": "=F.DIST([@p_size],2,2,TRUE)", "fr": "=F.DIST.RT([@p_size],2,2)", "fl": "=FDIST([@p_size],2,2)", "ga": "=GAMMA(MOD([@p_size],9)+1)", "gd": "=GAMMA.DIST([@p_size],1,9,TRUE)", "gl": "=GAMMADIST([@p_size],1,9,FALSE)", "gp": "=GAMMALN.PRECISE([@p_size]+1)", "td": "=T.DIST([@p_size]/10,1,TRUE)", "tr": "=T.DIST.RT([@p_size]/10,1)", "t2": "=T.DIST.2T([@p_size]/10,1)", "po": "=POISSON(MOD([@p_size],8),3,FALSE)", "we": "=WEIBULL([@p_size],2,30,TRUE)", "cn": "=CONFIDENCE.NORM(0.05,[@p_size],16)", "cl": "=CONFIDENCE(0.05,[@p_size],16)", "ct": "=CONFIDENCE.T(0.5,[@p_size],2)"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size, p_size::double as n from part) select p_partkey, 1-exp(-n/2) as ch, exp(-n/2) as cd, [0.2401,0.4116,0.2646,0.0756,0.0081][p_size%5+1]::double as br, [0.2401,0.4116,0.2646,0.0756,0.0081][p_size%5+1]::double as bl, 1-exp(-n/10) as el, n/(1+n) as fd, 1/(1+n) as fr, 1/(1+n) as fl, factorial(p_size%9)::double as ga, 1-exp(-n/9) as gd, exp(-n/9)/9 as gl, lgamma(n+1) as gp, 0.5+atan(n/10)/pi() as td, 0.5-atan(n/10)/pi() as tr, 1-2*atan(n/10)/pi() as t2, pow(3,p_size%8)*exp(-3)/factorial(p_size%8) as po, 1-exp(-pow(n/30,2)) as we, 1.959963984540054*n/4 as cn, 1.959963984540054*n/4 as cl, n/sqrt(2) as ct from t")
+rows("error_function", "part", {"e": "=ERF([@p_size]/50)", "p": "=ERF.PRECISE([@p_size]/50)", "c": "=ERFC([@p_size]/50)", "q": "=ERFC.PRECISE([@p_size]/50)", "nd": "=NORM.DIST([@p_size],0,50/SQRT(2),TRUE)", "nl": "=NORMDIST([@p_size],0,50/SQRT(2),TRUE)", "ns": "=NORM.S.DIST([@p_size]/50*SQRT(2),TRUE)", "nz": "=NORMSDIST([@p_size]/50*SQRT(2))", "g": "=GAUSS([@p_size]/50*SQRT(2))"}, ["p_partkey"],
+     "with t as (select p_partkey, 2/sqrt(pi())*list_sum(list_transform(range(0,28), lambda k: pow(-1.0,k)*pow(p_size/50.0::double,2*k+1)/(factorial(k::int)::double*(2*k+1)))) as y from part) select p_partkey, y as e, y as p, 1-y as c, 1-y as q, 0.5+y/2 as nd, 0.5+y/2 as nl, 0.5+y/2 as ns, 0.5+y/2 as nz, y/2 as g from t")
+rows("bessel", "part", {"j": "=BESSELJ([@p_size]/10,1)", "i": "=BESSELI([@p_size]/10,1)", "k": "=BESSELK([@p_size]/10,1)", "y": "=BESSELY([@p_size]/10,0)"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size/10.0::double as x from part), u as (select *, list_sum(list_transform(range(0,30), lambda k: pow(-1.0,k)*pow(x/2,2*k)/pow(factorial(k::int)::double,2))) as j0 from t) select p_partkey, list_sum(list_transform(range(0,30), lambda k: pow(-1.0,k)*pow(x/2,2*k+1)/(factorial(k::int)::double*factorial((k+1)::int)::double))) as j, list_sum(list_transform(range(0,30), lambda k: pow(x/2,2*k+1)/(factorial(k::int)::double*factorial((k+1)::int)::double))) as i, 0.05*(exp(-x)/2+list_sum(list_transform(range(1,200), lambda k: exp(-x*cosh(k*0.05::double))*cosh(k*0.05::double)))) as k, 2/pi()*((ln(x/2)+0.5772156649015329)*j0+list_sum(list_transform(range(1,30), lambda k: -pow(-1.0,k)*list_sum(list_transform(range(1,k+1), lambda h: 1.0::double/h))*pow(x/2,2*k)/pow(factorial(k::int)::double,2)))) as y from u")
+rows("bonds", "part", {"pr": "=PRICE(DATE(2024,3,1),DATE(2026,3,1),0.05,[@p_size]/500,100,2)", "yl": "=YIELD(DATE(2024,3,1),DATE(2026,3,1),0.05+[@p_size]/1000,100,100,2)", "te": "=TBILLEQ(DATE(2024,1,1),DATE(2024,4,1),[@p_size]/1000)", "ty": "=TBILLYIELD(DATE(2024,1,1),DATE(2024,4,1),95+[@p_size]/20)", "df": "=DOLLARFR([@p_size]+0.125,16)", "ra": "=RATE(2,0,-100,121+[@p_size])", "ir": "=IRR({-100,60,60},[@p_size]/100)", "mi": "=MIRR({-100,60,70},0.1,[@p_size]/100)", "xi": "=XIRR({-100,110},{36526,36891},[@p_size]/100)"}, ["p_partkey"],
+     "with t as (select p_partkey, p_size::double as n, 1+p_size/1000.0::double as y from part) select p_partkey, 2.5/y+2.5/pow(y,2)+2.5/pow(y,3)+102.5/pow(y,4) as pr, 0.05+n/1000 as yl, 365*n/1000/(360-n/1000*91) as te, (5-n/20)/(95+n/20)*360/91 as ty, n+0.02 as df, sqrt((121+n)/100)-1 as ra, 0.3+sqrt(0.69::double)-1 as ir, sqrt((60*(1+n/100)+70)/100)-1 as mi, 0.1::double as xi from t")
+rows("loans", "part", {"am": "=ACCRINTM(DATE(2000,1,1)+[@p_size],DATE(2010,1,1),0.05,1000,3)", "ac": "=ACCRINT(DATE(2008,3,1),DATE(2008,8,31),DATE(2008,5,1),0.1,[@p_retailprice],2,0)", "ci": "=CUMIPMT(0.05/12,60,[@p_retailprice],1,60,0)", "cp": "=CUMPRINC(0.05/12,60,[@p_retailprice],1,60,0)", "db": "=DB(SQRT([@p_retailprice])*300,1000,10,1,12)"}, ["p_partkey"],
+     "select p_partkey, 50.0::double*(date_diff('day', date '2000-01-01', date '2010-01-01')-p_size)/365 as am, p_retailprice/60 as ac, p_retailprice-60*p_retailprice*(0.05::double/12)/(1-pow(1+0.05::double/12,-60)) as ci, -p_retailprice as cp, sqrt(p_retailprice)*300*round(1-pow(1000/(sqrt(p_retailprice)*300),0.1::double),3) as db from part")
+rows("workdays", "orders", {"w": "=WORKDAY([@o_orderdate],10)", "wi": "=WORKDAY.INTL([@o_orderdate],6,11)", "ni": "=NETWORKDAYS.INTL([@o_orderdate],[@o_orderdate]+MOD([@o_orderkey],7),11)", "t0": "=TODAY()-TODAY()", "no": "=NOW()>[@o_orderdate]", "tv": '=TIMEVALUE("06:00")'}, ["o_orderkey"],
+     "select o_orderkey, (date_diff('day', date '1899-12-30', o_orderdate::date)+14-greatest(isodow(o_orderdate)-5,0))::double as w, (date_diff('day', date '1899-12-30', o_orderdate::date)+7-(isodow(o_orderdate)=7)::int)::double as wi, (o_orderkey%7+1-(isodow(o_orderdate)+o_orderkey%7>=7)::int)::double as ni, 0.0::double as t0, true as no, 0.25::double as tv from orders")
+rows("text_bytes", "part", {"l": "=LEFTB([@p_name],3)", "r": "=RIGHTB([@p_name],3)", "m": "=MIDB([@p_name],2,3)", "n": "=LENB([@p_name])", "rp": '=REPLACEB([@p_name],1,2,"_")', "f": '=IFERROR(FINDB("e",[@p_name]),0)', "s": '=IFERROR(SEARCHB("E",[@p_name]),0)', "a": "=ASC([@p_name])", "t": "=T([@p_name])", "cc": '=CONCAT([@p_name],"-",[@p_size])', "at": "=ARRAYTOTEXT({1,2,3})", "hl": '=HLOOKUP(MOD([@p_size],3)+1,{1,2,3;"a","b","c"},2,FALSE)', "bh": "=BIN2HEX(DEC2BIN([@p_size]))", "bo": "=BIN2OCT(DEC2BIN([@p_size]))", "hb": "=HEX2BIN(DEC2HEX([@p_size]))", "ho": "=HEX2OCT(DEC2HEX([@p_partkey]))", "ob": "=OCT2BIN(DEC2OCT([@p_size]))", "oh": "=OCT2HEX(DEC2OCT([@p_partkey]))", "tf": "=AND(TRUE(),NOT(FALSE()))", "rb": "=RANDBETWEEN([@p_size],[@p_size])", "rn": "=RAND()<1"}, ["p_partkey"],
+     "select p_partkey, left(p_name,3) as l, right(p_name,3) as r, substr(p_name,2,3) as m, length(p_name)::double as n, '_'||substr(p_name,3) as rp, instr(p_name,'e')::double as f, instr(p_name,'e')::double as s, p_name as a, p_name as t, p_name||'-'||p_size as cc, '1, 2, 3' as at, ['a','b','c'][p_size%3+1] as hl, upper(to_hex(p_size)) as bh, to_base(p_size,8) as bo, to_base(p_size,2) as hb, to_base(p_partkey,8) as ho, to_base(p_size,2) as ob, upper(to_hex(p_partkey)) as oh, true as tf, p_size::double as rb, true as rn from part")
+rows("rank_legacy", "customer", {"r": "=RANK([@c_acctbal],customer[c_acctbal])", "u": "=RANK([@c_acctbal],customer[c_acctbal],1)"}, ["c_custkey"],
+     "select c_custkey, rank() over (order by c_acctbal desc)::double as r, rank() over (order by c_acctbal)::double as u from customer")
+scalars("database_more", {"c": '=DCOUNTA(orders[#All],"o_orderpriority",{"o_orderstatus";"O"})', "m": '=DMIN(orders[#All],"o_totalprice",{"o_orderstatus";"P"})', "p": '=DPRODUCT(orders[#All],"o_orderkey",{"o_orderkey","o_orderkey";">0","<7"})', "sp": '=DSTDEVP(orders[#All],"o_totalprice",{"o_orderstatus";"F"})', "v": '=DVAR(orders[#All],"o_custkey",{"o_orderstatus";"F"})', "vp": '=DVARP(orders[#All],"o_orderkey",{"o_orderkey";"<100"})'}, ("orders",),
+        "select (select count(o_orderpriority)::double from orders where o_orderstatus='O') as c, (select min(o_totalprice) from orders where o_orderstatus='P') as m, (select product(o_orderkey)::double from orders where o_orderkey>0 and o_orderkey<7) as p, (select round(stddev_pop(o_totalprice),4) from orders where o_orderstatus='F') as sp, (select round(var_samp(o_custkey),4) from orders where o_orderstatus='F') as v, (select round(var_pop(o_orderkey),4) from orders where o_orderkey<100) as vp", 4)
+scalars("legacy_statistics", {"sd": "=STDEV(orders[o_totalprice])", "sp": "=STDEVP(orders[o_totalprice])", "va": "=VAR(lineitem[l_quantity])", "vp": "=VARP(lineitem[l_quantity])", "mo": "=MODE(orders[o_orderdate])", "q": "=QUARTILE(orders[o_totalprice],3)", "pe": "=PERCENTILE(orders[o_totalprice],0.35)", "co": "=COVAR(lineitem[l_discount],lineitem[l_tax])", "fc": "=FORECAST(10,lineitem[l_extendedprice],lineitem[l_quantity])", "pr": "=PRODUCT(nation[n_regionkey])", "sk": "=SKEW.P(orders[o_totalprice])"}, ("orders", "lineitem", "nation"),
+        "select round(stddev_samp(o_totalprice),4) as sd, round(stddev_pop(o_totalprice),4) as sp, (select round(var_samp(l_quantity),4) from lineitem) as va, (select round(var_pop(l_quantity),4) from lineitem) as vp, (select date_diff('day', date '1899-12-30', o_orderdate::date)::double from orders group by o_orderdate order by count(*) desc, min(o_orderkey) limit 1) as mo, round(quantile_cont(o_totalprice,0.75),4) as q, round(quantile_cont(o_totalprice,0.35),4) as pe, (select round(covar_pop(l_discount,l_tax),4) from lineitem) as co, (select round(regr_intercept(l_extendedprice,l_quantity)+10*regr_slope(l_extendedprice,l_quantity),4) from lineitem) as fc, (select product(n_regionkey)::double from nation) as pr, round((sum(pow(o_totalprice-m,3))/count(*))/pow(stddev_pop(o_totalprice),3),4) as sk from orders, (select avg(o_totalprice) as m from orders)", 4)
+
 # -- scalars --------------------------------------------------------------------------------
 
 scalars("sum_scalar", {"total": "=SUM(lineitem[l_quantity])"}, ("lineitem",), "select sum(l_quantity) as total from lineitem")
