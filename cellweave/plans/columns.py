@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import REGISTRY
 from ..functions.registry import guarded
-from ..values import DIV0, NA, NUM, VALUE, Error, Grid
+from ..values import DIV0, NA, NUM, VALUE, Error, Grid, serial_date
 
 NO = object()
 
@@ -759,6 +759,10 @@ clock("SECOND", F.second, lambda s: s % 60)
 @define("DATE")
 def date_(y: Ex, m: Ex, d: Ex) -> Ex:
     xs = [num(v) for v in (y, m, d)]
+    if all(x.literal and not isinstance(x.const, Error) for x in xs):
+        day = guarded(REGISTRY["DATE"].call, [x.const for x in xs])
+        if not isinstance(day, Error) and day > 60:
+            return Ex("date", F.lit(serial_date(day)))
     yy, mm, dd = (toward_zero(x.col).cast("int") for x in xs)
     year = F.when((yy >= 0) & (yy < 1900), yy + 1900).otherwise(yy)
     bad = (year < 1900) | (year > 9999)
@@ -915,8 +919,194 @@ numeric("RRI", lambda n, pv, fv: F.pow(fv / pv, 1 / n) - 1, lambda n, pv, fv: fl
 numeric("PDURATION", lambda r, pv, fv: (F.ln(fv) - F.ln(pv)) / F.ln(1 + r), lambda r, pv, fv: flag(NUM, (r <= 0) | (pv <= 0) | (fv <= 0)))
 numeric("SLN", lambda c, s, n: (c - s) / n, lambda c, s, n: zero(n))
 numeric("SYD", lambda c, s, n, p: (c - s) * (n - p + 1) * 2 / (n * (n + 1)), lambda c, s, n, p: flag(NUM, (n <= 0) | (p <= 0) | (p > n)))
-numeric("EXPON.DIST", lambda x, r, c: F.when(c != 0, 1 - F.exp(-r * x)).otherwise(r * F.exp(-r * x)), lambda x, r, c: flag(NUM, (x < 0) | (r <= 0)))
-numeric("WEIBULL.DIST", lambda x, a, b, c: F.when(c != 0, 1 - F.exp(-F.pow(x / b, a))).otherwise(a / b * F.pow(x / b, a - 1) * F.exp(-F.pow(x / b, a))), lambda x, a, b, c: flag(NUM, (x < 0) | (a <= 0) | (b <= 0)))
+numeric("EXPON.DIST EXPONDIST", lambda x, r, c: F.when(c != 0, 1 - F.exp(-r * x)).otherwise(r * F.exp(-r * x)), lambda x, r, c: flag(NUM, (x < 0) | (r <= 0)))
+numeric("WEIBULL.DIST WEIBULL", lambda x, a, b, c: F.when(c != 0, 1 - F.exp(-F.pow(x / b, a))).otherwise(a / b * F.pow(x / b, a - 1) * F.exp(-F.pow(x / b, a))), lambda x, a, b, c: flag(NUM, (x < 0) | (a <= 0) | (b <= 0)))
+
+
+# notations of numbers, characters, addresses
+
+#: Radix and bits of the two's complement of each notation, as in the library.
+NOTATIONS = {"BIN": (2, 10), "OCT": (8, 30), "HEX": (16, 40)}
+
+
+def truncated(x: Column) -> Column:
+    """The whole part as a long; null where it does not fit."""
+    return x.try_cast("bigint")
+
+
+def beyond(n: Column, low: int, high: int) -> Column:
+    return flag(NUM, F.coalesce(~n.between(low, high), F.lit(True)))
+
+
+def in_radix(n: Column, radix: Column) -> Column:
+    """Digits of a whole number that is not negative."""
+    return F.call_function("conv", n.cast("string"), F.lit(10), radix)
+
+
+def padded(s: Column, size: Column) -> Column:
+    return F.lpad(s, F.greatest(F.char_length(s), size), F.lit("0"))
+
+
+# Values below are computed without a look at the errors, so that nested calls stay small expressions.
+
+
+def read_notation(x: Ex, kind: str) -> Ex:
+    radix, width = NOTATIONS[kind]
+    t = txt(x)
+    digits = F.substring(F.regexp_replace(t.col, r"^\s+", ""), 1, 10)
+    n = F.coalesce(F.call_function("conv", digits, F.lit(radix), F.lit(10)).try_cast("bigint"), F.lit(0))
+    signed = F.shiftright(F.shiftleft(n, 64 - width), 64 - width)
+    return Ex("num", signed.cast("double"), errors(t, flag(NUM, ~t.col.rlike({2: r"^\s*[01]{0,10}\s*$", 8: r"^\s*[0-7]{0,10}\s*$", 16: r"^\s*[0-9a-fA-F]{0,10}\s*$"}[radix]))))
+
+
+def write_notation(n: Ex, kind: str, places: Ex | None) -> Ex:
+    radix, width = NOTATIONS[kind]
+    whole_ = truncated(n.col)
+    err = errors(n, beyond(whole_, -(1 << width - 1), (1 << width - 1) - 1))
+    s = in_radix(whole_.bitwiseAND(F.lit((1 << width) - 1)), F.lit(radix))
+    if places is None or places.kind == "blank":
+        return Ex("text", guard(s, err), err)
+    size, plain_ = num(places).col.try_cast("int"), (whole_ < 0) | places.col.isNull()
+    err = errors(err, num(places), flag(NUM, ~plain_ & F.coalesce((size < F.char_length(s)) | (size > 10), F.lit(True))))
+    return Ex("text", guard(F.when(plain_, s).otherwise(padded(s, size)), err), err)
+
+
+def notation(a: str, b: str):
+    def run(x: Ex, places: Ex | None = None) -> Ex:
+        n = num(x) if a == "DEC" else read_notation(x, a)
+        return Ex("num", guard(n.col, n.err), n.err) if b == "DEC" else write_notation(n, b, places)
+
+    return run
+
+
+for _a in ("DEC", *NOTATIONS):
+    for _b in ("DEC", *NOTATIONS):
+        if _a != _b:
+            FUNCTIONS[f"{_a}2{_b}"] = notation(_a, _b)
+
+
+@define("BASE")
+def base(x: Ex, radix: Ex, least: Ex | None = None) -> Ex:
+    n, r, w = num(x), num(radix), num(least) if least is not None else literal(0)
+    whole_, to, size = truncated(n.col), r.col.try_cast("int"), w.col.try_cast("int")
+    err = errors(n, r, w, beyond(to, 2, 36), beyond(whole_, 0, 2**53 - 1), beyond(size, 0, 255))
+    return Ex("text", guard(padded(in_radix(whole_, to), size), err), err)
+
+
+def shifted(v: Column, places: Column) -> Column:
+    return F.floor(v * F.pow(F.lit(2.0), places.try_cast("int")))
+
+
+def too_far(v: Column, places: Column) -> Column:
+    return errors(outside(v), flag(NUM, (F.abs(places) >= 54) | (v * F.pow(F.lit(2.0), places.try_cast("int")) >= float(2**48))))
+
+
+numeric("BITLSHIFT", shifted, too_far)
+numeric("BITRSHIFT", lambda v, n: shifted(v, -n), lambda v, n: too_far(v, -n))
+
+
+def characters() -> list[str]:
+    """The text of CHAR for each of the codes 1 to 255."""
+    return [REGISTRY["CHAR"].call(i) for i in range(1, 256)]
+
+
+@define("CHAR")
+def char(x: Ex) -> Ex:
+    n = num(x)
+    place = n.col.try_cast("int")
+    err = errors(n, flag(VALUE, F.coalesce(~place.between(1, 255), F.lit(True))))
+    return Ex("text", F.get(F.array(*map(F.lit, characters())), place - 1), err)
+
+
+@define("CODE")
+def code(x: Ex) -> Ex:
+    t = txt(x)
+    point = F.ascii(t.col)
+    #: characters whose code is not their code point
+    moved = [(c, i) for i, c in enumerate(characters(), 1) if ord(c) != i]
+    got = F.when(F.substring(t.col, 1, 1).isin([c for c, _ in moved]), F.element_at(F.create_map(*[F.lit(v) for pair in moved for v in pair]), F.substring(t.col, 1, 1)))
+    err = errors(t, flag(VALUE, t.col == ""))
+    return Ex("num", guard(F.coalesce(got, F.when(point < 256, point).otherwise(63)).cast("double"), err), err)
+
+
+@define("UNICHAR")
+def unichar(x: Ex) -> Ex:
+    n = num(x)
+    point = truncated(n.col)
+    err = errors(n, flag(VALUE, F.coalesce(~point.between(1, 0x10FFFF) | point.between(0xD800, 0xDFFF), F.lit(True))))
+    made = guard(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"), err)
+    return Ex("text", F.when(point == 0xFEFF, F.lit("﻿")).otherwise(made), err)  # alone it would be read as a byte order mark
+
+
+@define("ADDRESS")
+def address(row: Ex, col: Ex, kind: Ex | None = None, a1: Ex | None = None, sheet: Ex | None = None) -> Ex:
+    if sheet is not None or a1 is not None:
+        raise Unsupported("ADDRESS with a notation or sheet")
+    k = constant(kind, 1) if kind is None or kind.kind != "blank" else 1
+    r, c = num(row), num(col)
+    down, along = truncated(r.col), truncated(c.col)
+    if k not in (1, 2, 3, 4):
+        return literal(Error(VALUE))
+    err = errors(r, c, flag(VALUE, F.coalesce(~(down.between(1, 1048576) & along.between(1, 16384)), F.lit(True))))
+    i = F.when(along.between(1, 16384), along - 1)
+    # one, two or three letters: A to Z, then AA to ZZ from 26 on, then AAA from 702 on
+    letters = F.concat(
+        F.when(i >= 702, F.chr(F.floor((i - 702) / 676) + 65)).otherwise(""),
+        F.when(i >= 26, F.chr(F.floor((i - 26) / 26) % 26 + 65)).otherwise(""),
+        F.chr(i % 26 + 65),
+    )
+    return Ex("text", guard(F.concat(F.lit("$" if k in (1, 3) else ""), letters, F.lit("$" if k in (1, 2) else ""), down.cast("string")), err), err)
+
+
+def double_factorial(n: Column) -> Column:
+    """From a table of the results for -1 to 300."""
+    return F.element_at(F.array(*[F.lit(float(math.prod(range(i, 0, -2)))) for i in range(-1, 301)]), (n + 2).cast("int"))
+
+
+numeric("FACTDOUBLE", lambda x: double_factorial(F.when((toward_zero(x) >= -1) & (toward_zero(x) <= 300), toward_zero(x)).otherwise(0)), lambda x: flag(NUM, (toward_zero(x) < -1) | (toward_zero(x) > 300)))
+numeric("COMBINA", lambda n, k: combinations(toward_zero(n) + toward_zero(k) - 1, k), lambda n, k: flag(NUM, (toward_zero(n) < 1) | (toward_zero(k) < 0)))
+
+# years and bills
+
+
+@define("YEARFRAC")
+def yearfrac(start: Ex, end: Ex, basis: Ex | None = None) -> Ex:
+    kind, a, b = constant(basis, 0), date(start), date(end)
+    if kind not in (2, 3):
+        raise Unsupported("YEARFRAC by months")
+    return Ex("num", F.abs(F.datediff(b.col, a.col)) / F.lit({2: 360.0, 3: 365.0}[kind]), errors(a, b))
+
+
+def bill(names: str, call: Callable[[Column, Column], Column], sold: Callable[[Column, Column], Column]) -> None:
+    """A treasury bill: days left and a rate or price; sold says which of these make sense."""
+
+    def run(settlement: Ex, maturity: Ex, x: Ex) -> Ex:
+        a, b, v = date(settlement), date(maturity), num(x)
+        n = F.datediff(b.col, a.col).cast("double")
+        err = errors(a, b, v, flag(NUM, (n <= 0) | (b.col > F.add_months(a.col, 12)) | ~sold(n, v.col)))
+        return Ex("num", guard(call(n, v.col), err), err)
+
+    for name in names.split():
+        FUNCTIONS[name] = run
+
+
+def bond_equivalent(n: Column, d: Column) -> Column:
+    p, t = 1 - d * n / 360, n / F.when(n == 366, 366.0).otherwise(365.0)
+    far = (-2 * t + 2 * F.sqrt(F.greatest(t * t - (2 * t - 1) * (1 - 1 / p), F.lit(0.0)))) / F.when(n > 182, 2 * t - 1).otherwise(1)
+    return F.when(n <= 182, 365 * d / (360 - d * n)).otherwise(far)
+
+
+bill("TBILLPRICE", lambda n, d: 100 * (1 - d * n / 360), lambda n, d: (d > 0) & (d * n < 360))
+bill("TBILLYIELD", lambda n, p: (100 - p) / p * 360 / n, lambda n, p: p > 0)
+bill("TBILLEQ", bond_equivalent, lambda n, d: (d > 0) & (d * n < 360))
+
+
+def fraction_digits(f: Column) -> Column:
+    return F.when(f == 1, 10.0).otherwise(F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(f, F.lit(1.0)))).cast("double")))
+
+
+numeric("DOLLARDE", lambda x, f: toward_zero(x) + (x - toward_zero(x)) * fraction_digits(toward_zero(f)) / toward_zero(f), lambda x, f: flag(NUM, toward_zero(f) < 1))
+numeric("DOLLARFR", lambda x, f: toward_zero(x) + (x - toward_zero(x)) * toward_zero(f) / fraction_digits(toward_zero(f)), lambda x, f: flag(NUM, toward_zero(f) < 1))
 
 
 # -- functions that run the library ---------------------------------------------------------

@@ -60,6 +60,11 @@ SAME = [
     "=YEAR([@d])", "=MONTH([@d])", "=DAY([@d])", "=[@d]+1", "=WEEKDAY([@d])", "=WEEKDAY([@d],2)", "=WEEKNUM([@d])", "=DAYS([@d],DATE(2000,1,1))", "=DATEDIF([@d],DATE(2025,1,1),\"Y\")", "=DATE(2024,[@id],15)+0", "=EOMONTH([@d],[@id])+0", "=EDATE([@d],-1)+0", "=DAYS360([@d],DATE(2025,3,31))", "=YEARFRAC([@d],DATE(2025,1,1),3)", "=NETWORKDAYS([@d],DATE(2024,12,31))", "=HOUR([@x])",
     "=ISBLANK([@s])", "=ISNUMBER([@x])", "=ISTEXT([@s])", "=ISERROR(1/[@x])", "=ISNA([@x])", "=N([@b])", "=T([@s])", "=TYPE([@s])", "=ERROR.TYPE(1/[@x])",
     "=PMT(0.01,12,[@x])", "=FV(0.01,[@id],-10)", "=PV(0,[@id],-10)", "=SLN([@x],1,[@id])", "=EFFECT(0.1,[@id])", "=IPMT(0.01,[@id],12,100)", "=NORM.DIST([@id],2,1,TRUE)", "=BINOM.DIST([@id],10,0.5,FALSE)", "=LET(a,[@x],a+a)", "=LAMBDA(v,v*2)([@id])",
+    "=DEC2BIN([@id])", "=DEC2HEX([@x])", "=DEC2OCT([@x],8)", "=DEC2BIN(-[@id],3)", "=DEC2HEX([@id],[@x])", "=BIN2DEC([@n])", "=HEX2DEC([@s])", "=HEX2DEC(DEC2HEX(-[@id]))", "=OCT2HEX([@id],4)", "=HEX2BIN([@id]*100)", "=BASE([@id]*1000,36)", "=BASE([@x],2,6)", "=BASE([@id],[@x])",
+    "=BITLSHIFT([@id],40)", "=BITLSHIFT([@id],-1)", "=BITLSHIFT([@x],[@id])", "=BITRSHIFT([@id]*9,[@x])", "=BITRSHIFT([@id],60)", "=CHAR([@id]+126)", "=CHAR([@x])", "=CODE([@s])", "=CODE([@n])", "=CODE(CHAR([@id]+127))", "=CODE(UNICHAR(8000+[@id]))", "=UNICHAR([@id]*40000)", "=UNICHAR(65278+[@id])", "=UNICHAR([@x])",
+    "=ADDRESS([@id],[@id]*26)", "=ADDRESS([@id],[@id]*702,4)", "=ADDRESS([@x],16384,2)", "=ADDRESS([@id],16380+[@id]*2,3)", "=ADDRESS([@id],1,1,FALSE)", "=FACTDOUBLE([@id]*3)", "=FACTDOUBLE([@x])", "=COMBINA([@id],3)", "=COMBINA([@x],[@id])", "=EXPONDIST([@x],0.5,TRUE)", "=WEIBULL([@x],2,3,FALSE)",
+    "=WORKDAY([@d],[@id])", "=WORKDAY([@d],-[@id]*3)", "=WORKDAY([@d]+[@id],[@x])", "=WORKDAY([@x],7)", "=WORKDAY([@d],0)", "=WORKDAY([@id],-1)", "=WORKDAY([@id]*20,30)", "=WORKDAY(57+[@id],-[@id])", "=WORKDAY(54+[@id],[@id])", "=YEARFRAC([@d],DATE(2020,1,1),2)", "=YEARFRAC([@d],[@x],[@id])", "=TBILLPRICE([@d],[@d]+90,[@x]/100)", "=TBILLYIELD([@d],[@d]+[@id],98)", "=TBILLEQ([@d],[@d]+200+[@id],0.05)", "=TBILLEQ([@d],[@d]+[@id],[@x])", "=TBILLEQ([@d],[@d]+365,0.05)",
+    "=DOLLARDE([@x]+1.02,16)", "=DOLLARDE([@x],[@id])", "=DOLLARFR([@x],[@id]*50)", "=DOLLARFR([@id]/3,8)",
 ]
 
 
@@ -113,6 +118,11 @@ def test_scalar_functions_stay_in_the_jvm(book):
     assert "Python" not in text and "Arrow" not in text
 
 
+def test_notations_and_bills_stay_in_the_jvm_as_small_plans(book):
+    text = plan(book.select("orders", {"a": "=HEX2OCT(DEC2HEX(MOD([@o_orderkey],512)))", "b": "=BASE([@o_orderkey],7)&CHAR(65)", "c": "=TBILLEQ(DATE(2024,1,1),DATE(2024,4,1),[@o_totalprice]/1E7)", "d": "=ADDRESS([@o_orderkey]+1,2)", "e": "=BITLSHIFT([@o_orderkey],2)"}))
+    assert "Python" not in text and "Arrow" not in text and len(text) < 20000
+
+
 def test_only_needed_columns_are_read_and_filters_reach_the_scan(book):
     df = book.query('=FILTER(orders[o_orderkey],(orders[o_totalprice]>400000)*(orders[o_orderstatus]="F"))')
     text = plan(df)
