@@ -192,6 +192,8 @@ scalars("database", {"s": '=DSUM(orders[#All],"o_totalprice",{"o_orderstatus","o
         "select round(sum(o_totalprice) filter (where (o_orderstatus='F' and o_totalprice>100000) or o_orderstatus='P'),3) as s, count(*) filter (where o_orderstatus='O')::double as c, round(avg(o_totalprice) filter (where o_orderpriority='1-URGENT'),3) as a, max(o_totalprice) filter (where o_orderstatus='P') as m, max(o_totalprice) filter (where o_orderkey=7) as g, round(stddev_samp(o_totalprice) filter (where o_orderstatus='F'),3) as v from orders", 3)
 scalars("npv", {"n": "=NPV(0.0001,events[value])", "x": "=XNPV(0.1,orders[o_totalprice],orders[o_orderkey])"}, ("events", "orders"),
         "select round(sum(value/pow(1.0001,r)),3) as n, (select round(sum(o_totalprice/pow(1.1,(o_orderkey-(select min(o_orderkey) from orders))/365.0)),3) from orders) as x from (select value, row_number() over (order by event_id) r from events)", 3)
+scalars("z_test", {"z": "=Z.TEST(lineitem[l_quantity],25.5)", "l": "=ZTEST(lineitem[l_quantity],25.4)", "s": "=Z.TEST(lineitem[l_quantity],25.6,14)"}, ("lineitem",),
+        "with m as (select avg(l_quantity) as a, stddev_samp(l_quantity) as sd, sqrt(count(*)) as r from lineitem), t as (select unnest([(a-25.5)/(sd/r),(a-25.4)/(sd/r),(a-25.6)/(14/r)]) as z, unnest([1,2,3]) as i from m), p as (select i, round(0.5-z/1200/sqrt(2*pi())*list_sum(list_transform(range(0,401), lambda k: (case when k=0 or k=400 then 1 when k%2=1 then 4 else 2 end)*exp(-pow(k*z/400,2)/2))),6) as v from t) select max(v) filter (where i=1) as z, max(v) filter (where i=2) as l, max(v) filter (where i=3) as s from p", 6)
 scalars("tests", {"z": "=Z.TEST(lineitem[l_quantity],25)", "t": "=T.TEST(lineitem[l_discount],lineitem[l_tax],2,3)", "f": "=F.TEST(lineitem[l_discount],lineitem[l_tax])"}, ("lineitem",), None)
 scalars("textjoin_column", {"j": '=TEXTJOIN(",",TRUE,nation[n_name])'}, ("nation",), "select string_agg(n_name, ',' order by n_nationkey) as j from nation")
 
