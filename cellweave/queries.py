@@ -252,6 +252,7 @@ rows("share_of_total", "customer", {"share": "=[@c_acctbal]/SUM(customer[c_acctb
 rows("rank_eq", "customer", {"r": "=RANK.EQ([@c_acctbal],customer[c_acctbal])", "up": "=RANK.EQ([@c_acctbal],customer[c_acctbal],1)", "av": "=RANK.AVG([@c_acctbal],customer[c_acctbal])"}, ["c_custkey"],
      "select c_custkey, rank() over (order by c_acctbal desc)::double as r, rank() over (order by c_acctbal)::double as up, rank() over (order by c_acctbal desc)+(count(*) over (partition by c_acctbal)-1)/2.0 as av from customer")
 rows("percentrank", "customer", {"p": "=PERCENTRANK.INC(customer[c_acctbal],[@c_acctbal],6)"}, ["c_custkey"], "select c_custkey, floor(percent_rank() over (order by c_acctbal)*1000000+1e-12)/1000000 as p from customer")
+rows("percentrank_legacy", "supplier", {"p": "=PERCENTRANK(supplier[s_acctbal],[@s_acctbal],6)"}, ["s_suppkey"], "select s_suppkey, floor(percent_rank() over (order by s_acctbal)*1000000+1e-9)/1000000 as p from supplier")
 rows("running_sum", "events", {"rs": "=ROUND(SUM(E$1:E1),2)", "rc": "=COUNT(E$1:E1)", "rx": "=MAX(E$1:E1)"}, ["event_id"], "select event_id, floor(sum(value) over w*100+0.5)/100 as rs, (count(value) over w)::double as rc, max(value) over w as rx from events window w as (order by event_id rows unbounded preceding)", anchor=1)
 rows("moving_frame", "events", {"ms": "=MAX(E1:E4)", "mn": "=MIN(E1:E2)"}, ["event_id"], "select event_id, max(value) over (order by event_id rows between current row and 3 following) as ms, min(value) over (order by event_id rows between current row and 1 following) as mn from events", anchor=1)
 
@@ -280,6 +281,7 @@ spill("vstack", "=VSTACK(customer[c_name],supplier[s_name])", ("customer", "supp
 spill("hstack", "=HSTACK(customer[c_name],part[p_name])", ("customer", "part"), "select c_name, p_name from (select c_name, row_number() over (order by c_custkey) r from customer) a full join (select p_name, row_number() over (order by p_partkey) r from part) b using (r)")
 spill("tocol", "=TOCOL(nation[[n_nationkey]:[n_name]])", ("nation",), "select n_nationkey::varchar as value from nation union all select n_name from nation")
 spill("transpose", "=TRANSPOSE(region[[r_regionkey]:[r_regionkey]])", ("region",), "select * from (select 0 as c1, 1 as c2, 2 as c3, 3 as c4, 4 as c5)")
+spill("torow", "=TOROW(region[[r_regionkey]:[r_regionkey]])", ("region",), "select * from (select 0 as c1, 1 as c2, 2 as c3, 3 as c4, 4 as c5)")
 spill("sequence", "=SEQUENCE(100,1,5,3)", ("region",), "select (5+3*i)::double as value from range(100) t(i)")
 spill("textsplit", '=TEXTSPLIT(part[p_name]," ")', ("part",), "select unnest(string_split(p_name,' ')) as value from part")
 spill("frequency", "=FREQUENCY(lineitem[l_quantity],{10,20,30})", ("lineitem",), "select * from (select 10.0::double as upto, count(*) filter (where l_quantity<=10) as value from lineitem union all select 20.0, count(*) filter (where l_quantity>10 and l_quantity<=20) from lineitem union all select 30.0, count(*) filter (where l_quantity>20 and l_quantity<=30) from lineitem union all select null, count(*) filter (where l_quantity>30) from lineitem)")
