@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ def number(c: Column, kind: str) -> Column:
     return chunk(c, 0) if kind in ("string", "binary") else c.cast("double")
 
 
-def digits(df: DataFrame, order: list[Key], wanted: list[float]) -> tuple[list[tuple[Column, bool]], list[float] | None]:
-    """Numbers that sort as the keys do, one after the other, each with its direction; and the first one's
+def digits(df: DataFrame, order: list[Key], wanted: list[float]) -> tuple[list[tuple[Column, bool, str]], list[float] | None]:
+    """Numbers that sort as the keys do, one after the other, each with its direction and key; and the first one's
     quantiles, if the pass that looks at texts could tell them already.
 
     A text gives the six bytes after the prefix that all texts share, then the next six, and so on.
@@ -62,18 +63,34 @@ def digits(df: DataFrame, order: list[Key], wanted: list[float]) -> tuple[list[t
             continue  # one value in all rows
         if name in facts:
             start, length = facts[name]
-            out += [(chunk(c, at), up) for at in range(start, max(min(length, start + 24), start + 1), 6)]
+            out += [(chunk(c, at), up, name) for at in range(start, max(min(length, start + 24), start + 1), 6)]
             if length > start + 24:
                 break
         else:
-            out.append((number(c, kinds[name]), up))
+            out.append((number(c, kinds[name]), up, name))
             if kinds[name] == "decimal":
                 break
     return out, cuts
 
 
-def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Column, list[int]]:
-    """The range of a row of df (or of any frame with its keys), growing along the order, and all ranges there are.
+class Cut(NamedTuple):
+    """Ranges of an order."""
+
+    place: Column  # the range of a row, growing along the order
+    every: list[int]  # all ranges there are
+    split: bool  # rows that agree in the first key may be in several ranges
+    even: bool  # no rows that agree in all keys fill several ranges
+
+
+def upto(bounds: list[float], value: Column) -> Column:
+    """How many of the sorted bounds are not above a value, by halving."""
+    held = F.array(*[F.lit(float(b)) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= value, at + step).otherwise(at))
+
+
+def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> Cut:
+    """Ranges for the rows of df (or of any frame with its keys).
 
     Bounds are approximate quantiles of the first key. A value that fills several of its ranges (a
     status, a segment) is cut further by what follows it in the order, as many ranges as it fills.
@@ -83,9 +100,9 @@ def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Colum
     wanted = [i / n for i in range(1, n)]
     parts, got = digits(df, order, wanted)
     if not parts:
-        return F.lit(0).cast("long"), [0]
+        return Cut(F.lit(0).cast("long"), [0], False, False)
     cols = [f"d{i}" for i in range(len(parts))]
-    numbers = df.select(*[c.alias(d) for d, (c, _) in zip(cols, parts, strict=True)])
+    numbers = df.select(*[c.alias(d) for d, (c, *_) in zip(cols, parts, strict=True)])
     if got is None:
         got = numbers.select(F.percentile_approx("d0", wanted, 10000)).first()[0] or []
     cuts = {(): sorted(got)}  # of each path of heavy values so far
@@ -100,14 +117,13 @@ def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Colum
     def beyond(level: int) -> int:
         return width - 1 if level and parts[level - 1][1] else 0
 
-    for level, (value, up) in enumerate(parts[:3]):
+    for level, (value, up, _) in enumerate(parts[:3]):
         levels.append({path: sorted(set(found)) for path, found in cuts.items()})
         # a row that shares a range with a heavy value without having it lies beyond that value
         here = F.lit(beyond(level))
         for path, found in cuts.items():
-            bounds = F.array(*[F.lit(float(x)) for x in sorted(set(found))])
-            mine = F.when(value.isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= value)) + 1) if found else F.lit(0)
-            here = F.when(on(path, [c for c, _ in parts]), mine if up else width - 1 - mine).otherwise(here)
+            mine = F.when(value.isNull(), F.lit(0)).otherwise(upto(sorted(set(found)), value) + 1) if found else F.lit(0)
+            here = F.when(on(path, [c for c, *_ in parts]), mine if up else width - 1 - mine).otherwise(here)
         place = place * width + here
         # integers beyond 2^53 may differ where their doubles agree
         heavy = {(*path, v): k for path, found in cuts.items() for v, k in Counter(found).items() if k > 1 and abs(v) < 2**53}
@@ -134,12 +150,12 @@ def cutter(df: DataFrame, order: list[Key], n: int | None = None) -> tuple[Colum
             out |= {here * unit + r for r in (other | every(level + 1, (*path, found[j - 2])) if j > 1 else other)}
         return out
 
-    return place, sorted(every(0, ()))
+    return Cut(place, sorted(every(0, ())), len(levels) > 1 or parts[0][2] != order[0][0], not heavy)
 
 
 def ranges(df: DataFrame, order: list[Key], n: int | None = None) -> DataFrame:
     """df with __range, growing along the order."""
-    return df.withColumn("__range", cutter(df, order, n)[0])
+    return df.withColumn("__range", cutter(df, order, n).place)
 
 
 def carried(ranged: DataFrame, totals: list[Column], names: list[str]) -> DataFrame:
@@ -219,30 +235,6 @@ def running(df: DataFrame, order: list[Key], wants: dict[str, tuple[Column, str]
     return ranged.join(F.broadcast(starts), "__range").withColumns(out).drop(*dropped)
 
 
-def running_within(df: DataFrame, part: str, key: Key, values: dict[str, str], place: Column) -> DataFrame:
-    """df with running sums ("sum") or extremes ("min", "max") of its columns along a key within each part.
-
-    place: the range of a row, from a cutter by part and key. Parts are cut into ranges like any order, so a part that holds most rows is many tasks. A range
-    carries on from the one before it where both hold the same part.
-    """
-    ranged = df.withColumn("__range", place)
-    agg = {"sum": F.sum, "min": F.min, "max": F.max}
-    ends = ranged.groupBy("__range", part).agg(*[agg[how](v).alias(f"{v}_s") for v, how in values.items()])
-    last = ends.groupBy("__range").agg(F.min(part).alias("__first"), F.max(part).alias("__last"), F.max_by(F.struct(*[f"{v}_s" for v in values]), part).alias("__t"))
-    along = Window.partitionBy("__last").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
-    last = last.select("__range", "__first", "__last", *[agg[how](f"__t.{v}_s").over(along).alias(f"{v}_u") for v, how in values.items()])
-    step = Window.orderBy("__range")  # few rows
-    carry = last.select("__range", "__first", *[F.when(F.lag("__last").over(step) == F.col("__first"), F.lag(f"{v}_u").over(step)).alias(f"{v}_u") for v in values])
-    own = Window.partitionBy("__range", part).orderBy(*keys_of([key])).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(carry), "__range")
-    out = {}
-    for v, how in values.items():
-        here, before = agg[how](v).over(own), F.when(F.col(part) == F.col("__first"), F.col(f"{v}_u"))
-        out[v] = F.when(before.isNull(), here).when(here.isNull(), before).otherwise(here + before if how == "sum" else {"min": F.least, "max": F.greatest}[how](here, before))
-    kept = [c for c in df.columns if c not in values]
-    return joined.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(v) for v, c in out.items()])
-
-
 def framed(df: DataFrame, order: list[Key], columns: dict[str, tuple[int, int, Callable]], block: int = 50_000) -> DataFrame:
     """df with window expressions, by name: (low, high, expression over the rows from low to high around each row).
 

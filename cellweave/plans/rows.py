@@ -384,25 +384,15 @@ class Rows:
             step.wants.update({total: agg, n: F.count(v)})
             return self.conditional(name, F.col(total), F.col(n))
 
-        # an inequality: running totals along the column, then the nearest of them; between two bounds the
-        # difference of two such totals
+        # an inequality: a fold along the column up to the row's bound; between two bounds the difference of two such
+        # totals
         def upto(x: Ex, bound: Column, op: str) -> tuple[Column, Column]:
             total, n = self.fresh(), self.fresh()
-            upward = op in ("<", "<=")
 
             def totals(df: DataFrame, wants: dict) -> DataFrame:
-                part = F.concat_ws("\x1f", *[r.cast("string") for r in right_keys]) if right_keys else F.lit("")
-                own = F.concat_ws("\x1f", *[r.cast("string") for r in left_keys]) if left_keys else F.lit("")
-                fold = {"max": F.max, "min": F.min}.get(extreme, F.sum)
-                rows = frame().select(part.alias("__part"), A.lane(x).alias("__k"), v.alias("v")).where("__k is not null")
-                by = ([("__part", True)] if right_keys else []) + [("__k", upward)]
-                cut = order.cutter(rows.select("__part", "__k"), by)
-                sums = rows.groupBy("__part", "__k").agg(fold("v").alias("s"), F.count("v").alias("c"))
-                sums = order.running_within(sums, "__part", ("__k", upward), {"s": extreme or "sum", "c": "sum"}, cut[0])
-                # strict bounds look just beside the key
-                shift = {"<=": bound, ">=": bound, "<": bound - F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15, ">": bound + F.greatest(F.abs(bound), F.lit(1.0)) * 1e-15}[op]
-                got = lookup.nearest(df, shift, sums, F.col("__k"), {total: F.col("s"), n: F.col("c")}, larger=not upward, partition=(own, F.col("__part")) if right_keys else None, base=self.base, cut=cut if table == self.table else None)
-                return got.drop("__found")
+                one = lambda cols: cols[0] if len(cols) == 1 else F.concat_ws("\x1f", *[c.cast("string") for c in cols])
+                facts = frame().select((one(right_keys) if right_keys else F.lit(0)).alias("__part"), A.lane(x).alias("__k"), v.alias("v")).where("__k is not null")
+                return lookup.reduced_upto(df, one(left_keys) if left_keys else None, bound, facts, extreme or "sum", (total, n), op in ("<", "<="), op in ("<", ">"), base=self.base, alike=table == self.table)
 
             self.step((*key, op, total), totals)
             return F.col(total), F.col(n)
